@@ -7,6 +7,7 @@ that hold a character outside ASCII.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def _nfkc_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body over a struct of values that are worked out once; inside a lambda an outer expression would be worked out at every step."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
+
+
 def nfkc(text: Column) -> Column:
     """NFKC; identity on ASCII."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc_udf(text)).otherwise(text)
@@ -66,9 +72,12 @@ def mixed_script_token(text: Column) -> Column:
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits a character; 0 for an empty text."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)))
+
+    def bits(v: Column) -> Column:
+        shares = F.transform(F.array_distinct(v["c"]), lambda c: F.size(F.filter(v["c"], lambda d: d == c)) / F.size(v["c"]).cast("double"))
+        return F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))
+
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(let(bits, c=chars))
 
 
 def entropy_blob(text: Column, min_chars: int, min_bits: float) -> Column:
@@ -112,15 +121,19 @@ def match_places(text: Column, pattern: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
     gaps = F.split(text, FLAGS + pattern, -1)
     kind = "array<struct<start:int,match:string>>"
+    none = F.array().cast(kind)
+
+    def walk(v: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            m = F.element_at(v["m"], i)
+            start = acc["at"] + F.length(F.element_at(v["g"], i))
+            place = F.struct(start.alias("start"), m.alias("match"))
+            return F.struct((start + F.length(m)).alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        m = F.element_at(found, i)
-        start = acc["at"] + F.length(F.element_at(gaps, i))
-        place = F.struct(start.alias("start"), m.alias("match"))
-        return F.struct((start + F.length(m)).alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.when(F.size(v["m"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(v["m"])), zero, step)["out"]).otherwise(none)
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, step)["out"]).otherwise(F.array().cast(kind))
+    return let(walk, m=found, g=gaps)
 
 
 def near_match(text: Column, pattern: str, near: str, window: int | None) -> Column:
@@ -128,9 +141,8 @@ def near_match(text: Column, pattern: str, near: str, window: int | None) -> Col
     both = has_match(text, pattern) & has_match(text, near)
     if window is None:
         return F.when(both, first_match(text, pattern))
-    a, b = match_places(text, pattern), match_places(text, near)
-    hit = F.get(F.filter(a, lambda x: F.exists(b, lambda y: F.abs(x["start"] - y["start"]) <= window)), F.lit(0))["match"]
-    return F.when(both, hit)
+    close = lambda v: F.get(F.filter(v["a"], lambda x: F.exists(v["b"], lambda y: F.abs(x["start"] - y["start"]) <= window)), F.lit(0))["match"]
+    return F.when(both, let(close, a=match_places(text, pattern), b=match_places(text, near)))
 
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
