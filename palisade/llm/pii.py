@@ -95,12 +95,13 @@ def _spans(text: Column, k: Kind) -> Column:
     """The spans of one kind in a text, by start."""
     found = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
     gaps = F.split(text, k.pattern, -1)
-    # the running place: each match starts after the gaps and matches before it
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-        lambda acc, i: _step(text, k, found, gaps, acc, i),
-    )["out"]
+    # the running place: each match starts after the gaps and matches before it; both arrays are worked out once
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+
+    def walk(v: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.size(v["m"])), zero, lambda acc, i: _step(text, k, v["m"], v["g"], acc, i))["out"]
+
+    walked = F.get(F.transform(F.array(F.struct(found.alias("m"), gaps.alias("g"))), walk), F.lit(0))
     empty = F.array().cast(f"array<{_SPAN}>")
     has = text.contains(k.needs) if k.needs else F.lit(True)
     return F.when(has & text.rlike(k.pattern), walked).otherwise(empty)
@@ -110,6 +111,7 @@ def _step(text: Column, k: Kind, found: Column, gaps: Column, acc: Column, i: Co
     m = F.element_at(found, i)
     start = acc["at"] + F.length(F.element_at(gaps, i))
     end = start + F.length(m)
+    # only looked at where the match is valid
     around = F.concat(F.substr(text, F.greatest(start - k.reach, F.lit(0)) + 1, F.least(start, F.lit(k.reach))), F.lit("\n"), F.substr(text, end + 1, F.lit(k.reach)))
     score = F.least(F.lit(1.0), F.lit(k.score) + F.when(around.rlike(f"(?i){k.words}"), F.lit(k.lift)).otherwise(F.lit(0.0)))
     ok = k.valid(m) if k.valid else F.lit(True)
