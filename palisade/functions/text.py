@@ -41,6 +41,14 @@ def let(body: Callable[[Column], Column], **values: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
 
 
+def fixed(value: Column) -> Column:
+    """value behind a test that always holds but counts as non-deterministic: it is worked out where it stands, once a row.
+
+    Without it the optimizer copies a costly expression into every filter on what is derived from it.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def nfkc(text: Column) -> Column:
     """NFKC; identity on ASCII."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc_udf(text)).otherwise(text)

@@ -70,7 +70,7 @@ def scan(docs: DataFrame, rules: tuple[C.Rule, ...] = C.RULES) -> DataFrame:
     x = x.withColumn("_again", again)
     late = [*after, *manifests.signals({"manifest": F.col("manifest"), "all_text": F.col("all_text")})]
     x = x.withColumn("_late", _present([_signal(2 * n + 20 + i, k, s) for i, (k, s) in enumerate(late)]))
-    return x.withColumn("fired", F.concat("_rules", "_others", "_again", "_late")).drop("_mixed", "_rules", "_others", "_again", "_late")
+    return x.withColumn("fired", tx.fixed(F.concat("_rules", "_others", "_again", "_late"))).drop("_mixed", "_rules", "_others", "_again", "_late")
 
 
 def long_signals(scanned: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def suppress(scanned: DataFrame) -> DataFrame:
     notes = F.filter(F.array(F.when(F.col("_trade") & calm, F.lit(C.DEFI_NOTE)), F.when(F.col("analytic") & calm, F.lit(C.SECURITY_NOTE))), lambda n: n.isNotNull())
     drop = droppable(F.col("fired"))
     kept = dedupe(F.filter("fired", lambda s: ~F.array_contains(F.col("_drop"), s["id"])))
-    x = x.withColumn("penalty", penalty).withColumn("notes", notes).withColumn("_drop", drop).withColumn("kept", kept)
+    x = x.withColumn("penalty", penalty).withColumn("notes", notes).withColumn("_drop", drop).withColumn("kept", tx.fixed(kept))
     return x.drop("_trade", "_confirmed", "_drop")
 
 
@@ -100,7 +100,7 @@ def score(scanned: DataFrame, fast: bool = False, model_score: Column | None = N
     confirmed, infra = F.arrays_overlap(ids(kept), _strings(C.CONFIRMED)), F.arrays_overlap(ids(kept), _strings(C.STRONG_INFRASTRUCTURE))
     x = x.withColumn("r", F.when(confirmed & (F.col("r") < malicious), malicious).otherwise(F.col("r")))
     x = x.withColumn("_capped", F.col("analytic") & (F.col("r") >= malicious) & ~infra)
-    x = x.withColumn("r", F.when(F.col("_capped"), malicious - 1).otherwise(F.col("r")).cast("int"))
+    x = x.withColumn("r", tx.fixed(F.when(F.col("_capped"), malicious - 1).otherwise(F.col("r")).cast("int")))
     x = x.withColumn("notes", F.when(F.col("_capped") & ~F.array_contains("notes", C.SECURITY_NOTE), F.concat("notes", F.array(F.lit(C.SECURITY_NOTE)))).otherwise(F.col("notes")))
     x = x.withColumn("verdict", band(F.col("r"), benign, malicious)).withColumn("ml_score", F.lit(0.0) if model_score is None else F.coalesce(model_score, F.lit(0.0)))
     x = x.withColumn("ml_boosted", (F.col("ml_score") >= C.MODEL_BOOST_FROM) & (F.col("verdict") != "malicious"))
@@ -112,7 +112,7 @@ def score(scanned: DataFrame, fast: bool = False, model_score: Column | None = N
     prose = F.lit(False) if prose_score is None else F.coalesce(prose_score, F.lit(0.0)) >= C.PROSE_MODEL_FROM
     promoted = F.lit(False) if fast else (F.col("verdict") == "suspicious") & (mismatch | prose)
     x = x.withColumn("semantic_boosted", promoted)
-    x = x.withColumn("verdict", F.when(F.col("semantic_boosted"), "malicious").otherwise(F.col("verdict")))
+    x = x.withColumn("verdict", tx.fixed(F.when(F.col("semantic_boosted"), "malicious").otherwise(F.col("verdict"))))
     return x.withColumn("fired", ranked(F.col("kept"))).drop("kept", "_capped", "_clamped")
 
 

@@ -87,9 +87,6 @@ def _chosen_sql(pool: tuple[str, ...]) -> str:
     return f"replace(replace(CASE doc_id % {len(pool)} {cases} END, '{{pad}}', repeat('x', (doc_id % 500)::INT)), '{{n}}', (doc_id % 97)::VARCHAR)"
 
 
-_ID = F.concat  # readability below
-
-
 def salted(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, skill_id, body, payload."""
     d = table(spark, sf, "documents")
@@ -109,7 +106,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rule_docs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with the catalogue's signals only, as `fired`."""
-    return documents(spark, sf).withColumn("fired", scan.catalogue_signals())
+    return documents(spark, sf).withColumn("fired", tx.fixed(scan.catalogue_signals()))
 
 
 # ---- SQL of the catalogue ----
