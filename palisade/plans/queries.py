@@ -211,13 +211,15 @@ def _query(sql: str | None = None):
 
 
 # ---- text functions ----
-_SMUGGLED = F.concat(F.substring("text", 1, 40), F.decode(F.unhex(F.lit("E2808B")), "UTF-8"), F.substring("text", 41, 60), F.when(F.col("doc_id") % 3 == 0, F.decode(F.unhex(F.lit("E280AE")), "UTF-8")).otherwise(""))
+def _smuggled() -> Column:
+    return F.concat(F.substring("text", 1, 40), F.decode(F.unhex(F.lit("E2808B")), "UTF-8"), F.substring("text", 41, 60), F.when(F.col("doc_id") % 3 == 0, F.decode(F.unhex(F.lit("E280AE")), "UTF-8")).otherwise(""))
+
 
 
 @_query(r"""WITH x AS (SELECT doc_id, substr(text, 1, 40) || chr(8203) || substr(text, 41, 60) || CASE WHEN doc_id % 3 = 0 THEN chr(8238) ELSE '' END AS t FROM documents)
 SELECT doc_id, len(regexp_extract_all(t, '[\x{200B}-\x{200F}\x{202A}-\x{202E}]'))::INT AS n_invisible, regexp_replace(t, '[\x{200B}-\x{200F}\x{202A}-\x{202E}]', '', 'g') AS clean FROM x""")
 def invisible_scan(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "documents").select("doc_id", _SMUGGLED.alias("t"))
+    x = table(spark, sf, "documents").select("doc_id", _smuggled().alias("t"))
     return x.select("doc_id", tx.count_invisible(F.col("t")).alias("n_invisible"), tx.strip_invisible(F.col("t")).alias("clean"))
 
 
@@ -244,7 +246,9 @@ def collapse_spaces(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.collapse_ws(F.substring("text", 1, 300)).alias("line"))
 
 
-_BLOBBED = F.concat(F.substring("text", 1, 200), F.lit(" "), F.repeat(F.md5(F.col("doc_id").cast("string").cast("binary")), (F.col("doc_id") % 8).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(""))
+def _blobbed() -> Column:
+    return F.concat(F.substring("text", 1, 200), F.lit(" "), F.repeat(F.md5(F.col("doc_id").cast("string").cast("binary")), (F.col("doc_id") % 8).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(""))
+
 _BLOBBED_SQL = "substr(text, 1, 200) || ' ' || repeat(md5(doc_id::VARCHAR), (doc_id % 8)::INT) || CASE WHEN doc_id % 2 = 0 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' ELSE '' END"
 
 
@@ -252,7 +256,7 @@ _BLOBBED_SQL = "substr(text, 1, 200) || ' ' || repeat(md5(doc_id::VARCHAR), (doc
 chars AS (SELECT doc_id, run, unnest(string_split(run, '')) AS c FROM x), h AS (SELECT doc_id, run, entropy(c) AS bits FROM chars GROUP BY ALL)
 SELECT doc_id, length(run)::INT AS n, round(bits, 9) AS bits, (length(run) >= 200 AND bits >= 4.5) AS hit FROM h""")
 def entropy_blobs(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(_BLOBBED, F.lit(tx.BLOB), F.lit(0))).alias("run"))
+    x = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(_blobbed(), F.lit(tx.BLOB), F.lit(0))).alias("run"))
     blob = tx.entropy_blob(F.col("run"), C.BLOB_MIN_CHARS, C.BLOB_MIN_BITS)
     return x.select("doc_id", F.length("run").alias("n"), F.round(tx.entropy(F.col("run")), 9).alias("bits"), blob.isNotNull().alias("hit"))
 
