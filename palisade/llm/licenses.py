@@ -65,7 +65,7 @@ SPELLINGS = (
     (r"licence", "license"),
     (r"non-?\s?commercial", "noncommercial"),
     (r"merchantibility", "merchantability"),
-    (r"sub-?licence", "sublicense"),
+    (r"sub-license", "sublicense"),
     (r"&", " and "),
     (r"https:", "http:"),
     (r"\(c\)|©", "copyright "),
