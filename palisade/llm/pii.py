@@ -38,8 +38,8 @@ def _digits(m: Column) -> Column:
 
 
 def _is_ip(m: Column) -> Column:
-    part = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-    return m.rlike(rf"\A{part}(?:\.{part}){{3}}\z") | m.rlike(r"\A0++(?:\.0++){3}\z")
+    part = r"0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"  # a part has a digit, so one without others is zero
+    return m.rlike(rf"\A{part}(?:\.{part}){{3}}\z")
 
 
 def _is_card(m: Column) -> Column:

@@ -27,6 +27,7 @@ AWKWARD = [
     (11, "café naïve  " + "1" * 25 + " 00.000.0.0 +12345678 +(12", "en", "a"),
     (None, "no id", "en", "a"),
     (None, "no id", "en", "a"),
+    (13, "hosts 10.0.0.1, 127.0.0.1 0.0.0.0 192.168.0.255 010.007.0.0099 1.0.256.0 1.00256.0.1 0.0.0.0000300", "en", "a"),
     (12, "Call +1 (988) 555-2485 or 4041894974608795, a@b.co+x@c.de. 1.2.3.4.5.6.7.8 256.1.1.1", "en", "zz"),
 ]
 KIND = "doc_id long, text string, lang string, source string"
