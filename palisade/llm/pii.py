@@ -88,6 +88,7 @@ MORE = (
 )
 KINDS = BASE + MORE
 
+_BLOCK = 256
 _SPAN = "struct<kind:string,start:int,end:int,match:string,score:double>"
 
 
@@ -96,23 +97,53 @@ def _spans(text: Column, k: Kind) -> Column:
     found = F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))
     gaps = F.split(text, k.pattern, -1)
     # the running place: each match starts after the gaps and matches before it; both arrays are worked out once
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    empty = F.array().cast(f"array<{_SPAN}>")
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def walk(v: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(v["m"])), zero, lambda acc, i: _step(text, k, v["m"], v["g"], acc, i))["out"]
+        def block(acc: Column, b: Column) -> Column:
+            # spans are added to those of a block, and blocks to the whole, so that few copies of long arrays are made
+            some = F.sequence(b, F.least(b + _BLOCK - 1, F.size(v["m"])))
+            start = F.struct(acc["at"].alias("at"), empty.alias("out"))
+            return F.aggregate(some, start, lambda a, i: _step(k, v["m"], v["g"], a, i), lambda a: F.struct(a["at"].alias("at"), F.concat(acc["out"], a["out"]).alias("out")))
+
+        blocks = F.sequence(F.lit(1), F.greatest(F.size(v["m"]), F.lit(1)), F.lit(_BLOCK))
+        return F.aggregate(blocks, zero, block)["out"]
 
     walked = F.get(F.transform(F.array(F.struct(found.alias("m"), gaps.alias("g"))), walk), F.lit(0))
-    empty = F.array().cast(f"array<{_SPAN}>")
     has = text.contains(k.needs) if k.needs else F.lit(True)
     return F.when(has & text.rlike(k.pattern), walked).otherwise(empty)
 
 
-def _step(text: Column, k: Kind, found: Column, gaps: Column, acc: Column, i: Column) -> Column:
+def _before(k: Kind, found: Column, gaps: Column, i: Column) -> Column:
+    """The k.reach characters before match i. They lie in the pieces next to it: a match has two characters or more, so
+    k.reach / 2 matches and the gaps between them are enough, and no text is walked through for each of its matches."""
+
+    def piece(j: Column) -> Column:
+        return F.concat(F.coalesce(F.get(found, j - 2), F.lit("")), F.right(F.get(gaps, j - 1), F.lit(k.reach)))
+
+    gap = F.get(gaps, i - 1)
+    more = F.array_join(F.transform(F.sequence(F.greatest(i - k.reach // 2, F.lit(1)), i), piece), "")
+    return F.right(F.when(F.length(gap) >= k.reach, gap).otherwise(more), F.lit(k.reach))
+
+
+def _after(k: Kind, found: Column, gaps: Column, i: Column) -> Column:
+    """The k.reach characters after match i, in the same way."""
+
+    def piece(j: Column) -> Column:
+        return F.concat(F.left(F.get(gaps, j - 1), F.lit(k.reach)), F.coalesce(F.get(found, j - 1), F.lit("")))
+
+    gap = F.get(gaps, i)
+    more = F.array_join(F.transform(F.sequence(i + 1, F.least(i + 1 + k.reach // 2, F.size(gaps))), piece), "")
+    return F.left(F.when(F.length(gap) >= k.reach, gap).otherwise(more), F.lit(k.reach))
+
+
+def _step(k: Kind, found: Column, gaps: Column, acc: Column, i: Column) -> Column:
     m = F.element_at(found, i)
     start = acc["at"] + F.length(F.element_at(gaps, i))
     end = start + F.length(m)
     # only looked at where the match is valid
-    around = F.concat(F.substr(text, F.greatest(start - k.reach, F.lit(0)) + 1, F.least(start, F.lit(k.reach))), F.lit("\n"), F.substr(text, end + 1, F.lit(k.reach)))
+    around = F.concat(_before(k, found, gaps, i), F.lit("\n"), _after(k, found, gaps, i))
     score = F.least(F.lit(1.0), F.lit(k.score) + F.when(around.rlike(f"(?i){k.words}"), F.lit(k.lift)).otherwise(F.lit(0.0)))
     ok = k.valid(m) if k.valid else F.lit(True)
     span = F.struct(F.lit(k.name).alias("kind"), start.alias("start"), end.alias("end"), m.alias("match"), score.alias("score"))

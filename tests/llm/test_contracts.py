@@ -85,6 +85,23 @@ def test_op1(spark, case):
         assert len([x for x in r.spans.split(",") if x and x.split(":")[0] in ("email", "ip", "card", "phone")]) == r.n_email + r.n_ip + r.n_card + r.n_phone
 
 
+def test_pii_context_among_many_matches(spark):
+    """Context words next to a match count wherever they stand between others; a long text takes time in proportion."""
+    near, far = "ssn 123-45-6789 é" * 3, "x" * 60
+    texts = [near + far + "123-45-6789", "123-45-6789 " * 3 + "is my ssn", "1.2.3.4 " * 8 + "host", "é b@c.de " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        t = texts[r.doc_id]
+        for s in r.spans:
+            k = next(k for k in pii.KINDS if k.name == s.kind)
+            assert t[s.start : s.end] == s.match
+            if r.doc_id < 3 or s.start < 2000:
+                around = t[max(0, s.start - k.reach) : s.start] + "\n" + t[s.end : s.end + k.reach]
+                assert s.score == pytest.approx(min(1.0, k.score + (k.lift if re.search(k.words, around, re.I) else 0)))
+    spans = {r.doc_id: r.spans for r in pii.find_pii(df).collect()}
+    assert [s.start for s in spans[0]] == [4, 21, 38] and len(spans[1]) == 3 and len(spans[3]) == 5000
+
+
 def test_pii_checksums_and_context(spark):
     rows = [(1, "iban GB82 WEST 1234 5698 7654 32"), (2, "iban GB82 WEST 1234 5698 7654 33"), (3, "my ssn: 123-45-6789"), (4, "part 123-45-6789"), (5, "mail a@b.cd now")]
     got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
