@@ -99,8 +99,19 @@ _SALTED = f"""salted AS (
 _DOCS = _SALTED + r""", docs AS (SELECT doc_id, skill_id, regexp_replace(body, '[^\x00-\x7F]', 'q', 'g') AS t FROM salted)"""
 
 
+#: Inputs with fewer bytes a core than this may sit in fewer row groups than there are cores.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all cores if it is small; larger inputs have splits enough and aren't shuffled. The rows are the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    x = salted(spark, sf)
+    x = spread(salted(spark, sf))
     return tables.from_texts(x, F.col("skill_id"), F.col("body"))
 
 
