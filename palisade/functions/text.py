@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palisade.functions.literals import may_match
+
 #: Flags under which patterns mean in Java what they mean in Python's re.IGNORECASE.
 FLAGS = "(?iuU)"
 
@@ -115,9 +117,10 @@ def decoded(text: Column) -> Column:
     return F.transform(some, lambda b: F.make_valid_utf8(F.substring(b, 1, MAX_DECODED).cast("string")))
 
 
-def first_match(text: Column, pattern: str) -> Column:
-    """The first match's text; null if there is none."""
-    return F.regexp_substr(text, F.lit(FLAGS + pattern))
+def first_match(text: Column, pattern: str, low: Column | None = None) -> Column:
+    """The first match's text; null if there is none. low: the text's lowered form, to pass over texts that can't match."""
+    found = F.regexp_substr(text, F.lit(FLAGS + pattern))
+    return found if low is None else F.when(may_match(low, pattern), found)
 
 
 def has_match(text: Column, pattern: str) -> Column:
@@ -144,9 +147,11 @@ def match_places(text: Column, pattern: str) -> Column:
     return let(walk, m=found, g=gaps)
 
 
-def near_match(text: Column, pattern: str, near: str, window: int | None) -> Column:
-    """The first match of pattern that a match of near starts at most window characters from; null if none."""
+def near_match(text: Column, pattern: str, near: str, window: int | None, low: Column | None = None) -> Column:
+    """The first match of pattern that a match of near starts at most window characters from; null if none. low: as in first_match."""
     both = has_match(text, pattern) & has_match(text, near)
+    if low is not None:
+        both = may_match(low, pattern) & may_match(low, near) & both
     if window is None:
         return F.when(both, first_match(text, pattern))
     close = lambda v: F.get(F.filter(v["a"], lambda x: F.exists(v["b"], lambda y: F.abs(x["start"] - y["start"]) <= window)), F.lit(0))["match"]

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from palisade.functions import manifests
 from palisade.functions import text as tx
+from palisade.functions.literals import lowered
 from palisade.operators import catalogue as C
 
 MARKS = {m.id: m for m in (*C.RULES, *C.OTHER_MARKS, *C.MANIFEST_MARKS)}
 SIGNAL = "struct<ord:int,id:string,weight:int,tier:string,category:string,snippet:string>"
 
 
-def rule_snippet(rule: C.Rule, text: Column) -> Column:
-    """The matched text of a rule, null where it does not hold."""
+def rule_snippet(rule: C.Rule, text: Column, low: Column | None = None) -> Column:
+    """The matched text of a rule, null where it does not hold. low: the text's lowered form, if it is at hand."""
     if rule.near is None:
-        return tx.first_match(text, rule.pattern)
-    return tx.near_match(text, rule.pattern, rule.near, rule.window)
+        return tx.first_match(text, rule.pattern, low)
+    return tx.near_match(text, rule.pattern, rule.near, rule.window, low)
 
 
 def scope_text(rule: C.Rule) -> Column:
@@ -34,8 +35,16 @@ def _present(signals: list[Column]) -> Column:
 
 
 def catalogue_signals(rules: tuple[C.Rule, ...] = C.RULES, text: Column | None = None, base: int = 0) -> Column:
-    """The fired rules of the catalogue; with text, all rules look at that whatever their scope."""
-    return _present([_signal(base + i, r.id, tx.collapse_ws(rule_snippet(r, scope_text(r) if text is None else text))) for i, r in enumerate(rules)])
+    """The fired rules of the catalogue; with text, all rules look at that whatever their scope.
+
+    Each scope's text is put in lower case once, for the literals that most texts don't hold.
+    """
+    scopes = {r.scope: scope_text(r) if text is None else text for r in rules}
+
+    def fired(v: Column) -> Column:
+        return _present([_signal(base + i, r.id, tx.collapse_ws(rule_snippet(r, v[r.scope], v[f"low_{r.scope}"]))) for i, r in enumerate(rules)])
+
+    return tx.let(fired, **scopes, **{f"low_{k}": lowered(t) for k, t in scopes.items()})
 
 
 def other_signals() -> list[tuple[str, Column]]:
