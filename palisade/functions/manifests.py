@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from palisade.functions import text as tx
+from palisade.functions.literals import lowered
 from palisade.operators import catalogue as C
 
 # ---- Fixed values: field names and patterns ----
@@ -130,21 +131,20 @@ def signals(doc: dict[str, Column]) -> list[tuple[str, Column]]:
     raw, name, description = man["raw_text"], man["name"], man["description"]
     some = F.length(raw) > 0
     perm = some & tx.has_match(raw, PERMISSION_KEY)
-    low = F.lower(all_text)
-    path = F.get(F.filter(F.array(*map(F.lit, C.SENSITIVE_PATHS)), lambda p: F.contains(low, p)), F.lit(0))
+    path = tx.let(lambda v: F.get(F.filter(F.array(*map(F.lit, C.SENSITIVE_PATHS)), lambda p: F.contains(v["low"], p)), F.lit(0)), low=F.lower(all_text))
     open_ = F.when(some, tx.first_match(raw, NO_SANDBOX))
     bare = path.isNotNull() & ~(some & tx.has_match(raw, ISOLATION_WORD))
     drift = F.when(some & ~tx.has_match(raw, INTEGRITY), tx.first_match(raw, DRIFT))
     alike = F.when(name != "", look_alike(name))
-    starts = [tx.first_match(all_text, p) for p in AUTOSTART]
-    count = sum(x.isNotNull().cast("int") for x in starts)
+    starts = tx.let(lambda v: F.array_compact(F.array(*[tx.first_match(all_text, p, v["low"]) for p in AUTOSTART])), low=lowered(all_text))
+    several = tx.let(lambda v: F.when(F.size(v["starts"]) >= 2, F.array_join(v["starts"], " / ")), starts=starts)
     out = [
         ("S_over_privileged", F.when(perm, tx.first_match(raw, BROAD_PERMISSION))),
         ("S_unrestricted_network", F.when(some, tx.first_match(raw, OPEN_NETWORK))),
-        ("S_weak_isolation", F.when(open_.isNotNull(), open_).when(bare & perm, path)),
+        ("S_weak_isolation", F.when(open_.isNotNull(), open_).when(perm & bare, path)),
         ("S_update_drift", drift),
         ("S_typosquat", F.when(alike.isNotNull(), F.concat(name, F.lit("≈"), alike))),
         ("S_metadata_mismatch", F.when((description != "") & tx.has_match(description, HARMLESS_DESCRIPTION) & tx.has_match(raw, DANGEROUS_CAPABILITY), F.concat(F.lit("desc:"), F.substring(description, 1, 40)))),
-        ("S_cross_platform_reuse", F.when(count >= 2, F.concat_ws(" / ", *starts))),
+        ("S_cross_platform_reuse", several),
     ]
     return [(k, F.substring(s, 1, 80)) for k, s in out]

@@ -32,6 +32,28 @@ BASE64_RUN = r"[A-Za-z0-9+/=_-]{40,}"
 HEX_RUN = r"(?U)\b[0-9a-fA-F]{40,}\b"
 MAX_BLOBS, MAX_DECODED = 24, 8192
 
+# Written in SQL, as these are used for each rule and would take thousands of calls to build from columns.
+_NONE = "cast(array() AS array<struct<start:int,match:string>>)"
+#: v (m: matches, g: gaps) -> their places. Places are added to those of a block, and blocks to the whole, so that few
+#: copies of long arrays are made.
+_WALK = f"""v -> if(size(v.m) = 0, {_NONE}, aggregate(
+  sequence(1, size(v.m), 256), named_struct('pos', 0, 'out', {_NONE}),
+  (t, first) -> aggregate(
+    sequence(first, least(first + 255, size(v.m))), named_struct('pos', t.pos, 'out', {_NONE}),
+    (s, i) -> named_struct(
+      'pos', s.pos + length(element_at(v.g, i)) + length(element_at(v.m, i)),
+      'out', concat(s.out, array(named_struct('start', s.pos + length(element_at(v.g, i)), 'match', element_at(v.m, i))))),
+    s -> named_struct('pos', s.pos, 'out', concat(t.out, s.out)))).out)"""
+#: v (a, b: places) -> see _first_close.
+_CLOSE = """v -> get(transform(array(aggregate(
+  array_sort(concat(transform(v.a, x -> named_struct('pos', x.start, 'side', 0)), transform(v.b, x -> named_struct('pos', x.start, 'side', 1)))),
+  named_struct('a', -1000000000, 'b', -1000000000, 'low', cast(null AS int)),
+  (s, x) -> named_struct(
+    'a', if(x.side = 0, x.pos, s.a),
+    'b', if(x.side = 0, s.b, x.pos),
+    'low', coalesce(s.low, if(x.side = 0, if(x.pos - s.b <= {window}, x.pos, null), if(x.pos - s.a <= {window}, x.pos - {window}, null))))).low),
+  low -> get(filter(v.a, x -> x.start >= low), 0).`match`), 0)"""
+
 
 @F.pandas_udf(StringType())
 def _nfkc_udf(s: pd.Series) -> pd.Series:
@@ -131,20 +153,7 @@ def match_places(text: Column, pattern: str) -> Column:
     """All matches as an array of (start, match); starts are code points from 0. The gaps between matches give them."""
     found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
     gaps = F.split(text, FLAGS + pattern, -1)
-    kind = "array<struct<start:int,match:string>>"
-    none = F.array().cast(kind)
-
-    def walk(v: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            m = F.element_at(v["m"], i)
-            start = acc["at"] + F.length(F.element_at(v["g"], i))
-            place = F.struct(start.alias("start"), m.alias("match"))
-            return F.struct((start + F.length(m)).alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.when(F.size(v["m"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(v["m"])), zero, step)["out"]).otherwise(none)
-
-    return let(walk, m=found, g=gaps)
+    return F.get(F.call_function("transform", F.array(F.struct(found.alias("m"), gaps.alias("g"))), F.expr(_WALK)), F.lit(0))
 
 
 def near_match(text: Column, pattern: str, near: str, window: int | None, low: Column | None = None) -> Column:
@@ -154,8 +163,16 @@ def near_match(text: Column, pattern: str, near: str, window: int | None, low: C
         both = may_match(low, pattern) & may_match(low, near) & both
     if window is None:
         return F.when(both, first_match(text, pattern))
-    close = lambda v: F.get(F.filter(v["a"], lambda x: F.exists(v["b"], lambda y: F.abs(x["start"] - y["start"]) <= window)), F.lit(0))["match"]
-    return F.when(both, let(close, a=match_places(text, pattern), b=match_places(text, near)))
+    return F.when(both, let(lambda v: _first_close(v["a"], v["b"], window), a=match_places(text, pattern), b=match_places(text, near)))
+
+
+def _first_close(a: Column, b: Column, window: int) -> Column:
+    """The first match of a, by start, with one of b at most window from it; both are walked through once, in order.
+
+    At the first place that is close to the last one of the other side, no match of a before `low` can be close to any
+    of b: those of b so far are too far from it, and later ones are farther.
+    """
+    return F.get(F.call_function("transform", F.array(F.struct(a.alias("a"), b.alias("b"))), F.expr(_CLOSE.format(window=int(window)))), F.lit(0))
 
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:

@@ -52,7 +52,8 @@ def other_signals() -> list[tuple[str, Column]]:
     blob = tx.entropy_blob(F.col("all_text"), C.BLOB_MIN_CHARS, C.BLOB_MIN_BITS)
     token = F.col("_mixed")
     hidden = F.get(F.filter(F.transform(tx.decoded(F.col("all_text")), lambda t: tx.first_match(t, C.PRIMITIVE)), lambda m: m.isNotNull()), F.lit(0))
-    split = F.when(~tx.has_match(F.col("md"), C.PRIMITIVE), tx.first_match(F.col("code"), C.PRIMITIVE))
+    inner = tx.first_match(F.col("code"), C.PRIMITIVE)  # most packages have little code, so it is looked at first
+    split = F.when(inner.isNotNull() & ~tx.has_match(F.col("md"), C.PRIMITIVE), inner)
     return [
         ("S_zero_width", F.when(F.col("has_zero_width"), F.lit("(invisible characters)"))),
         ("S_high_entropy_blob", F.when(F.length(blob) > 40, F.concat(F.substring(blob, 1, 40), F.lit("…"))).otherwise(blob)),
