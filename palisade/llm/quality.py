@@ -1,8 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
 *Word vectors.* Words are hashed to BUCKETS rows. Each row has a sparse index vector (a few +1 and -1, drawn from a
-seeded generator); a word's vector is its index vector plus the mean of its neighbours' index vectors in the training
-texts. The *shape* of a word (letters by case, digits, other signs, with repeats squeezed) has a vector of its own.
+seeded generator); a word's vector is its index vector plus the mean of its neighbours' index vectors in all texts,
+labelled or not. The *shape* of a word (letters by case, digits, other signs, with repeats squeezed) has a vector of its own.
 
 *Pooling.* A document is the mean of its words' vectors, the mean of the products of adjacent ones (which words that
 repeat raise), the same for shapes, and the logarithm of its length. Whole texts are read, in pieces.
@@ -32,6 +32,8 @@ BUCKETS, DIM, SHAPES, SHAPE_DIM = 1 << 15, 32, 256, 24
 SAMPLE = 4000
 THRESHOLD = 0.3
 _PIECE = 1 << 15
+#: Words whose neighbours are added up at once.
+_BATCH = 1 << 17
 _CACHE = 200_000
 
 _CLASS = bytes.maketrans(bytes(range(256)), bytes(ord("X") if 65 <= b <= 90 else ord("9") if 48 <= b <= 57 else ord("x") if 97 <= b <= 122 or b >= 128 else b for b in range(256)))
@@ -109,19 +111,57 @@ class Model:
 
 
 def learn_vectors(texts: Iterator[str | None]) -> np.ndarray:
-    """For each bucket, the sum of its neighbours' index vectors and, in the last column, the number of its places."""
+    """For each bucket, the sum of its neighbours' index vectors and, in the last column, the number of its places.
+
+    The sums are multiples of one half, which float64 holds exactly: tables of parts of the texts add up to the same in any order.
+    """
     index = index_vectors(BUCKETS, DIM, 1)
-    out = np.zeros((BUCKETS, DIM + 1), np.float32)
+    at = np.argsort(index == 0, axis=1, kind="stable")[:, :4]
+    signs = np.take_along_axis(index, at, axis=1).astype(np.float64)
+    out = np.zeros((BUCKETS, DIM + 1), np.float64)
+    held: list[np.ndarray] = []  # pieces
+    again: list[bool] = []  # whether a piece's first word is the last of the piece before
+
+    def add() -> None:
+        b = np.concatenate(held)
+        firsts = np.cumsum([0, *map(len, held[:-1])])
+        inner = np.ones(len(b), bool)
+        inner[firsts] = False
+        right = np.flatnonzero(inner)
+        for word, near in ((b[right], b[right - 1]), (b[right - 1], b[right])):
+            places = (word[:, None] * DIM + at[near]).ravel()
+            out[:, :DIM] += np.bincount(places, signs[near].ravel(), BUCKETS * DIM).reshape(BUCKETS, DIM)
+        out[:, DIM] += np.bincount(b, minlength=BUCKETS) - np.bincount(b[firsts[again]], minlength=BUCKETS)
+        held.clear()
+        again.clear()
+
+    n = 0
     for text in texts:
-        for codes in pieces(text):
-            b = codes // SHAPES
-            around = np.zeros((len(b), DIM), np.float32)
-            around[1:] += index[b[:-1]]
-            around[:-1] += index[b[1:]]
-            order = np.argsort(b, kind="stable")
-            heads = np.flatnonzero(np.diff(b[order], prepend=-1))
-            out[b[order][heads], :DIM] += np.add.reduceat(around[order], heads, axis=0)
-            out[:, DIM] += np.bincount(b, minlength=BUCKETS)
+        for k, codes in enumerate(pieces(text)):
+            held.append(codes // SHAPES)
+            again.append(k > 0)
+            n += len(codes)
+            if n >= _BATCH:
+                add()
+                n = 0
+    if held:
+        add()
+    return out
+
+
+def neighbour_sums(docs: DataFrame) -> np.ndarray:
+    """The table of learn_vectors over every row of docs: each task's table is added up by bucket in a shuffle."""
+    names = [f"c{i}" for i in range(DIM + 1)]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = learn_vectors(t for b in batches for t in b.column(0).to_pylist())
+        seen = np.flatnonzero(part[:, DIM])
+        yield pa.record_batch([pa.array(seen, pa.int32()), *[pa.array(part[seen, i]) for i in range(DIM + 1)]], names=["bucket", *names])
+
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sums, "bucket int, " + ", ".join(f"{c} double" for c in names))
+    got = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # at most BUCKETS rows
+    out = np.zeros((BUCKETS, DIM + 1), np.float64)
+    out[got["bucket"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], axis=1)
     return out
 
 
@@ -169,7 +209,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most `sample` labelled documents of each label that are not held out: those with the smallest hash of doc_id.
+    """Word vectors from all of docs; the network is fitted on at most `sample` labelled documents of each label that are
+    not held out: those with the smallest hash of doc_id.
 
     Labels other than 0 and 1, null ones too, are passed over; so are labels without a document. Without both
     labels the model gives each document the same score: the share of label 1 (0.5 without labels).
@@ -184,15 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = stored(some, "quality-labels")  # at most 2 * sample rows
     text = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
     rows = stored(text.join(F.broadcast(some), "label_id"), "quality-sample")
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = learn_vectors(t for b in batches for t in b.column(0).to_pylist())
-        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    total = np.zeros((BUCKETS, DIM + 1), np.float32)
-    for r in rows.select("text").coalesce(4).mapInArrow(sums, "sums binary").toLocalIterator():  # four tables of 4 MB
-        total += np.frombuffer(r["sums"], np.float32).reshape(total.shape)
-    model = Model(word_vectors(total), index_vectors(SHAPES, SHAPE_DIM, 2))
+    model = Model(word_vectors(neighbour_sums(docs)), index_vectors(SHAPES, SHAPE_DIM, 2))
     got = rows.select("label", "text").mapInArrow(_pooled(model), "label int, x binary").collect()  # a vector a row
     width = 2 * (DIM + SHAPE_DIM) + 2
     x = np.array([np.frombuffer(r["x"], np.float64) for r in got]).reshape(-1, width)

@@ -136,6 +136,28 @@ def test_quality_on_held_out(spark):
     assert auc > 0.9 and sum(p == y for _, p, y in got) / len(got) > 0.93
 
 
+def test_word_vectors_come_from_all_documents(spark, monkeypatch):
+    """Held-out and unlabelled texts count too, null and long ones among them, against plain sums; the sample bounds the network only."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "_PIECE", 7)  # in the driver; texts of over 32768 words are cut in the workers
+    monkeypatch.setattr(quality, "_BATCH", 20)
+    rows = [(i, f"good words number{i % 5} here", 1) for i in range(40)] + [(i, f"bad stuff number{i % 5} there", 0) for i in range(40, 80)]
+    rows += [(i, f"Unlabelled rare{i} rare{i} text", None) for i in range(80, 90)] + [(None, "nobody knows", None), (91, None, None), (92, "", None), (93, "lone", None), (94, "over and over " * 12000, None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id int, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id int, quality int")
+    index, want = quality.index_vectors(quality.BUCKETS, quality.DIM, 1), np.zeros((quality.BUCKETS, quality.DIM + 1))
+    for _, text, _ in rows:
+        b = [zlib.crc32(w.lower()) % quality.BUCKETS for w in (text or "").encode().split()]
+        for k, x in enumerate(b):
+            want[x, quality.DIM] += 1
+            for y in b[max(0, k - 1) : k] + b[k + 1 : k + 2]:
+                want[x, : quality.DIM] += index[y]
+    assert np.array_equal(quality.learn_vectors(t for _, t, _ in rows), want)
+    model = quality.fit(docs, labels, sample=2)
+    assert np.array_equal(model.vectors, quality.word_vectors(want))
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
