@@ -137,8 +137,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, target_bytes: int | None = None
     """One row per row of docs: doc_id, size, crc, shard, slot (0, 1, ... in each shard).
 
     size is the UTF-8 bytes of the text plus 1 (null: 1). Rows with equal texts share a shard; null and empty texts
-    are equal. Shards are as near in bytes as whole groups allow. target_bytes is a leaf's size; by default 1/24 of a
-    shard. Null doc_ids, sources and languages are values like others; rows may repeat; an empty table gives an
+    are equal. Shards are as near in bytes as whole groups allow. target_bytes is the most that a leaf of
+    more than one group holds; by default 1/24 of a shard. The driver's tree grows with the number of leaves. Null doc_ids, sources and languages are values like others; rows may repeat; an empty table gives an
     empty result; docs may lack source and lang, and other columns are ignored.
     """
     rows = measured(docs)
@@ -147,7 +147,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, target_bytes: int | None = None
     ends = groups.agg(F.sum("weight").alias("w"), *[f(c).alias(f"{f.__name__}_{c}") for c in _DIMS for f in (F.min, F.max)]).first()
     if ends["w"] is None:
         return rows.select("doc_id", "size", "crc", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    leaf = max(target_bytes or 0, ends["w"] / (shards * LEAVES_A_SHARD))
+    leaf = target_bytes or ends["w"] / (shards * LEAVES_A_SHARD)
     tree = build_tree(groups, leaf, [ends[f"max_{c}"] - ends[f"min_{c}"] for c in _DIMS])
     of = deal(tree.leaves, shards)
     leaf_table = small_table(docs.sparkSession, [{"node": k, "shard": s} for k, s in of.items()], "node bigint, shard int")

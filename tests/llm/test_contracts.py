@@ -421,3 +421,13 @@ def test_kd_tree_deals_every_leaf(spark):
     out = sharding.shard_rows(docs, 4).groupBy("shard").sum("size").collect()
     load = [r[1] for r in out]
     assert len(load) == 4 and max(load) < 1.05 * sum(load) / 4
+
+
+def test_shards_keep_to_the_target_bytes(spark, monkeypatch):
+    """A target below 1/24 of a shard holds too."""
+    seen = {}
+    deal = sharding.deal
+    monkeypatch.setattr(sharding, "deal", lambda leaves, shards: seen.update(leaves) or deal(leaves, shards))
+    docs = spark.createDataFrame([(i, "w" * 9 + f"{i:05d}") for i in range(3000)], "doc_id int, text string")  # 15 bytes each
+    out = sharding.shard_rows(docs, 2, 450)
+    assert out.count() == 3000 and sum(seen.values()) == 45000 and max(seen.values()) <= 450
