@@ -7,13 +7,48 @@ texts are looked up, and each of their lines, so that a licence notice inside a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import product
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm.common import small_table
 
-#: Known texts: (licence, kind, text). Add a corpus of full licence texts through the `known` parameter.
-KNOWN = (
+#: Full texts as their publishers give them; the driver reads them, executors don't.
+TEXTS = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+
+def _with_titles(license_: str, titles: tuple[str, ...], bodies: tuple[str, ...]) -> Iterator[tuple[str, str, str]]:
+    """A full text under each title. A copyright line with a year, which may stand between them, is no part of the canonical form."""
+    yield from ((license_, "text", f"{t}\n\n{b}") for t, b in product(titles, bodies))
+
+
+def _full_texts() -> Iterator[tuple[str, str, str]]:
+    mit, isc = (next(t for a, k, t in _SHORT if (a, k) == (x, "text")) for x in ("MIT", "ISC"))
+    yield from _with_titles("MIT", ("", "MIT License", "The MIT License", "The MIT License (MIT)"), (mit.removeprefix("MIT License\n\n"),))
+    yield from _with_titles("ISC", ("", "ISC License", "The ISC License", "ISC License (ISC)"), (isc,))
+    free = TEXTS["Unlicense"]
+    yield from _with_titles("Unlicense", ("", "Unlicense", "The Unlicense"), (free, free[: free.index("For more information")]))
+    bsd = TEXTS["BSD-3-Clause"]
+    bulleted = bsd
+    for n in "123":
+        bulleted = bulleted.replace(f"\n{n}. ", "\n* ")
+    named = ("", "BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License")
+    yield from _with_titles("BSD-3-Clause", (*named, *(f"{t}\n\nAll rights reserved." for t in named)), (bsd, bulleted))
+    # what follows the terms tells how to apply them and is often left out, or its copyright line is filled in
+    for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0"):
+        text = TEXTS[k]
+        end = text.index("END OF TERMS AND CONDITIONS")
+        yield from ((k, "text", t) for t in (text, text[:end], text[:end] + "END OF TERMS AND CONDITIONS", text.replace("Copyright [yyyy] [name of copyright owner]", "")))
+    yield "MPL-2.0", "text", TEXTS["MPL-2.0"]
+    cc0 = TEXTS["CC0-1.0"]
+    yield from (("CC0-1.0", "text", t) for t in (cc0, cc0.replace("Creative Commons Legal Code", "", 1)))
+
+
+#: Notices and short full texts: (licence, kind, text).
+_SHORT = (
     ("MIT", "notice", "Released under the MIT License."),
     ("MIT", "notice", "Licensed under the MIT License."),
     ("MIT", "notice", "This project is licensed under the MIT License."),
@@ -52,14 +87,9 @@ KNOWN = (
         "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
         "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
-    (
-        "Unlicense",
-        "text",
-        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, "
-        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
-        "non-commercial, and by any means.",
-    ),
 )
+#: Known texts: (licence, kind, text). Add others through the `known` parameter.
+KNOWN = (*_SHORT, *_full_texts())
 #: Equivalent spellings, applied to lower-case text in this order.
 SPELLINGS = (
     (r"licence", "license"),

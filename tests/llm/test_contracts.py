@@ -118,6 +118,24 @@ def test_op2(spark):
     assert bag((r.doc_id, r.license, r.unit, r.n) for r in got) == bag([(1, "MIT", "text", 1), (2, "MIT", "text", 1), (3, "MIT", "line", 2), (None, "all-rights-reserved", "text", 1)])
 
 
+def test_op2_finds_genuine_full_texts(spark):
+    """Every full text as published, wrapped anew, under its usual titles and copyright lines."""
+    from pathlib import Path
+
+    texts, by = licenses.TEXTS, "Copyright (c) 2021, Someone\n\n"
+    assert "In jurisdictions that recognize copyright laws" in texts["Unlicense"] and len(texts["GPL-3.0"]) > 35000
+    rows = [(k, t) for k, t in texts.items()] + [(k, by + " ".join(t.upper().split(" "))) for k, t in texts.items()]
+    rows += [("BSD-3-Clause", f"BSD 3-Clause License\n\n{by}All rights reserved.\n\n{texts['BSD-3-Clause']}"), ("Unlicense", "The Unlicense\n\n" + texts["Unlicense"])]
+    mit, isc = (next(t for a, k, t in licenses.KNOWN if (a, k) == (x, "text")) for x in ("MIT", "ISC"))
+    rows += [("MIT", mit.replace("MIT License", "The MIT License (MIT)\n\n" + by)), ("MIT", mit.replace("MIT License\n", by)), ("ISC", "ISC License\n\n" + by + isc)]
+    rows += [("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Someone")), ("GPL-2.0", texts["GPL-2.0"].split("END OF TERMS")[0])]
+    debian = Path("/usr/share/common-licenses")
+    rows += [(k, (debian / f).read_text()) for k, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if (debian / f).exists()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(-1, texts["GPL-3.0"][:-400])], "doc_id int, text string")
+    got = {r.doc_id: r.license for r in licenses.find_licenses(docs).where("unit = 'text'").collect()}
+    assert got == {i: k for i, (k, _) in enumerate(rows)}
+
+
 def test_op3(spark, case):
     folder, rows = case
     got = queries.op3_quality(spark, folder).collect()
