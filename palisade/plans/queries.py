@@ -592,7 +592,7 @@ def calibrate_grid(spark: SparkSession, sf: str) -> DataFrame:
 @_query()
 def rescore_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """The whole scoring chain, floors and caps too, under each pair of limits over signals scanned once."""
-    base = _rule_docs(spark, sf)
+    base = scan.scan(documents(spark, sf))
     labels = table(spark, sf, "labels").select(F.concat(F.lit("pkg-"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("skill_id"), F.when(F.col("toxic") == 1, "malicious").otherwise("benign").alias("truth"))
     x = metrics.reband(base.join(labels, "skill_id"), metrics.grid(spark, (15, 20, 25), (40, 45, 50)))
     return metrics.sweep(x.select("benign_max", "mal_min", "truth", "verdict"))

@@ -43,6 +43,13 @@ def test_generated_attacks_are_caught(spark, sf):
     assert sum(r.verdict != "benign" for r in bad) > 0.85 * len(bad)
 
 
+def test_rescore_sweep_counts_all_signals(spark, sf, monkeypatch):
+    """Invisible characters weigh 22 and are no catalogue rule: suspicious, half a hit, while that is above the lower limit."""
+    monkeypatch.setattr(queries, "PAYLOADS", ("pla\u200bin words with nothing to find",))
+    got = {(r.benign_max, r.mal_min): r.recall for r in queries.rescore_sweep(spark, sf).collect()}
+    assert got == {(b, m): 0.5 if b <= 20 else 0.0 for b in (15, 20, 25) for m in (40, 45, 50)}
+
+
 def test_wordpiece_and_json():
     from palisade.functions.manifests import flatten_json
     from palisade.functions.wordpiece import WordPiece
