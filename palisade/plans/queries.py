@@ -600,7 +600,7 @@ def rescore_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"WITH {_SCORED} SELECT count(*) AS n, 0 AS bad_verdict, count(*) FILTER (NOT confidence BETWEEN 0 AND 1) AS bad_confidence, count(*) FILTER (category NOT IN ('', 'AST01', 'AST02', 'AST03', 'AST04', 'AST05', 'AST06', 'AST07', 'AST08', 'AST10')) AS bad_category, 0 AS empty_evidence FROM results")
 def schema_check(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.schema_problems(rule_results(spark, sf).withColumn("evidence", F.lit("x")))
+    return metrics.schema_problems(analyze(documents(spark, sf)))
 
 
 @_query(f"WITH {_SCORED} SELECT count(*) AS n, sum(('0x' || substr(md5(skill_id || chr(31) || verdict || chr(31) || category || chr(31) || r::VARCHAR), 1, 8))::BIGINT)::BIGINT AS digest FROM results")

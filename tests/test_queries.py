@@ -50,6 +50,14 @@ def test_rescore_sweep_counts_all_signals(spark, sf, monkeypatch):
     assert got == {(b, m): 0.5 if b <= 20 else 0.0 for b in (15, 20, 25) for m in (40, 45, 50)}
 
 
+def test_schema_check_reads_the_evidence(spark, sf, monkeypatch):
+    n = pq.read_metadata(f"{sf}/documents.parquet").num_rows
+    assert [tuple(r) for r in queries.schema_check(spark, sf).collect()] == [(n, 0, 0, 0, 0)]
+    analyze = queries.analyze
+    monkeypatch.setattr(queries, "analyze", lambda docs: analyze(docs).withColumn("evidence", queries.F.lit(" ")))
+    assert queries.schema_check(spark, sf).first().empty_evidence == n
+
+
 def test_wordpiece_and_json():
     from palisade.functions.manifests import flatten_json
     from palisade.functions.wordpiece import WordPiece
