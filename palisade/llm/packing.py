@@ -2,9 +2,10 @@
 
 1. Each task tokenizes its documents, cuts off whole windows, and writes what is left (the *tail*, shorter than a
    window) with its ids, its length and its rank among the tails of that length in its task.
-2. The driver sees a histogram of at most `window` lengths. Combinations of two and three lengths that fill a window
-   exactly are enumerated, and the repeat counts that explain the histogram best are solved by non-negative least
-   squares and rounded down. Tails in combinations stay whole and leave no padding.
+2. The driver sees a histogram of at most `window` lengths. All combinations of two and three lengths that fill a
+   window exactly are enumerated (some 87 000 where every length occurs), and the repeat counts that explain the
+   histogram best are solved by non-negative least squares over all of them and rounded down. Tails in combinations
+   stay whole and leave no padding.
 3. What remains is packed greedily: length by length, end to end, cut at each window's edge. The last window is cut
    into powers of two.
 
@@ -34,8 +35,8 @@ from palisade.llm.common import small_table, stored
 WINDOW = 1024
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
-#: At most so many combinations of three lengths enter the least squares.
-TRIPLES = 3000
+#: Combinations that enter the active set in a round of the least squares; all that gain enter in the end.
+_ENTER = 512
 
 
 @lru_cache(maxsize=2)
@@ -95,11 +96,8 @@ def _cut(path: str, window: int, end: int):
     return run
 
 
-def combinations(hist: np.ndarray, triples: int = TRIPLES) -> np.ndarray:
-    """Rows of three lengths (0: none) that sum to the window, from lengths that occur.
-
-    All pairs; of the triples, those whose rarest length is most frequent.
-    """
+def combinations(hist: np.ndarray) -> np.ndarray:
+    """Rows of two or three lengths (0: none) that sum to the window, from lengths that occur: all of them."""
     window = len(hist)
     have = np.flatnonzero(hist[1:]) + 1
     pairs = [(a, window - a, 0) for a in have if a <= window - a and hist[window - a] > 0]
@@ -108,42 +106,57 @@ def combinations(hist: np.ndarray, triples: int = TRIPLES) -> np.ndarray:
     ok = (a <= b) & (b <= c) & (c > 0)
     a, b, c = a[ok], b[ok], c[ok]
     some = hist[c] > 0
-    a, b, c = a[some], b[some], c[some]
-    order = np.argsort(-np.minimum(np.minimum(hist[a], hist[b]), hist[c]), kind="stable")[:triples]
-    found = np.array(pairs, np.int64).reshape(-1, 3)
-    return np.vstack([found, np.stack([a, b, c], 1)[order]]) if len(order) else found
+    return np.vstack([np.array(pairs, np.int64).reshape(-1, 3), np.stack([a[some], b[some], c[some]], 1)])
 
 
-def solve(hist: np.ndarray, combos: np.ndarray, rounds: int = 400) -> np.ndarray:
+def solve(hist: np.ndarray, combos: np.ndarray, rounds: int = 200, tolerance: float = 1e-3) -> np.ndarray:
     """Repeat counts x >= 0 for which the lengths used come closest to hist in the least-squares sense, as floats.
 
-    Accelerated projected gradient; the matrix has a column of at most three entries for each combination, so it is
-    applied by indexing. Errors weigh by 1 / sqrt(count), so that rare lengths are fitted too.
+    Non-negative least squares with an active set: each time all combinations are priced against what is left, those
+    with the largest gains enter, and the active ones are solved by accelerated projected gradient, until no
+    combination gains (the conditions of Karush, Kuhn and Tucker, to `tolerance` of the first gain). The matrix has a
+    column of at most three entries for each combination, so it is applied by indexing. Errors weigh by 1 / sqrt(count),
+    so that rare lengths are fitted too.
     """
+    x = np.zeros(len(combos))
     if not len(combos):
-        return np.zeros(0)
+        return x
     window = len(hist)
     scale = 1 / np.sqrt(np.maximum(hist, 1.0))
     scale[0] = 0
     target = hist * scale
-    use = lambda x: sum(np.bincount(combos[:, k], x, window) for k in range(3)) * scale
-    back = lambda r: sum((r * scale)[combos[:, k]] for k in range(3))
-    v = np.ones(len(combos))
-    for _ in range(20):
-        v = back(use(v))
-        v /= np.linalg.norm(v) or 1
-    step = 1 / max(np.linalg.norm(back(use(v))) * 1.05, 1e-12)
-    x = y = np.zeros(len(combos))
-    t = 1.0
-    for _ in range(rounds):
-        new = np.maximum(y - step * back(use(y) - target), 0)
-        nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / nt * (new - x)
-        x, t = new, nt
-    return x
-
-
-def plan(hist: np.ndarray, triples: int = TRIPLES) -> tuple[list[dict], list[int], int]:
+
+    def use(rows: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(rows[:, k], v, window) for k in range(3)) * scale
+
+    def gains(rows: np.ndarray, r: np.ndarray) -> np.ndarray:
+        return sum((r * scale)[rows[:, k]] for k in range(3))
+
+    active, first = np.zeros(len(combos), bool), None
+    while True:
+        gain = gains(combos, target - use(combos, x))
+        first = first or max(gain.max(), 1e-12)
+        enter = np.flatnonzero(~active & (gain > tolerance * first))
+        if not len(enter):
+            return x
+        active[enter[np.argsort(-gain[enter], kind="stable")[:_ENTER]]] = True
+        at = np.flatnonzero(active)
+        rows = combos[at]
+        v = np.ones(len(rows))
+        for _ in range(20):
+            v = gains(rows, use(rows, v))
+            v /= np.linalg.norm(v) or 1
+        step = 1 / max(np.linalg.norm(gains(rows, use(rows, v))) * 1.05, 1e-12)
+        new = y = x[at]
+        t = 1.0
+        for _ in range(rounds):
+            old, new = new, np.maximum(y + step * gains(rows, target - use(rows, y)), 0)
+            nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            y, t = new + (t - 1) / nt * (new - old), nt
+        x[at] = new
+
+
+def plan(hist: np.ndarray) -> tuple[list[dict], list[int], int]:
     """Intervals of ranks: {length, lo, hi, seq, offset, rest}; the ends of the last, short sequences; the number of full ones in the greedy part.
 
     Ranks lo..hi-1 of a length go to sequences seq, seq + 1, ... at offset; or, where rest is true, end to end from
@@ -151,7 +164,7 @@ def plan(hist: np.ndarray, triples: int = TRIPLES) -> tuple[list[dict], list[int
     """
     window = len(hist)
     left = hist.astype(np.int64).copy()
-    combos = combinations(hist, triples)
+    combos = combinations(hist)
     counts = np.floor(solve(hist.astype(float), combos) + 1e-6).astype(np.int64)
     used = np.zeros(window, np.int64)
     out, seq = [], 0
@@ -171,10 +184,11 @@ def plan(hist: np.ndarray, triples: int = TRIPLES) -> tuple[list[dict], list[int
         return k
 
     order = np.argsort(-counts, kind="stable")
-    for j in order:
+    for j in order[counts[order] > 0]:
         take(tuple(int(x) for x in combos[j]), int(counts[j]))
     for j in order:  # what rounding down has left
-        take(tuple(int(x) for x in combos[j]), int(left.max(initial=0)))
+        if all(left[x] for x in combos[j] if x):
+            take(tuple(int(x) for x in combos[j]), int(left.max(initial=0)))
     at = 0
     for x in range(window - 1, 0, -1):
         if left[x]:
@@ -216,7 +230,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     table = small_table(spark, spans, "length int, lo bigint, hi bigint, seq bigint, offset bigint, rest boolean")
     table = stored(table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "seq", "offset", "rest"))).alias("spans")), "pack-plan")
     rank = F.col("rank") + F.col("before")
-    placed = cut.drop("ids").join(counts.select("task", "length", "before"), ["task", "length"]).withColumn("rank", rank).drop("before")
+    # the counts grow with the tasks, so they are not broadcast
+    placed = cut.drop("ids").join(counts.select("task", "length", "before").hint("shuffle_hash"), ["task", "length"]).withColumn("rank", rank).drop("before")
     whole = placed.where(F.col("length") == window).select("doc_id", "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     span = F.get(F.filter("spans", lambda x: (F.col("rank") >= x["lo"]) & (F.col("rank") < x["hi"])), F.lit(0))
     tails = placed.where(F.col("length") < window).join(table, "length").withColumn("s", span).drop("spans")  # the plan: at most `window` rows
