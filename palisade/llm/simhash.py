@@ -5,9 +5,10 @@ d blocks at most, so they share at least one key made of `blocks - d` whole bloc
 link. Equal fingerprints are one node, so copies make no pairs.
 
 A key that many different fingerprints share (a large group of near copies) would make the square of its size in
-pairs. Beyond `block_pairs` nodes a key is not joined with itself; its nodes are linked through *midpoints* instead:
-two fingerprints differ in at most 2 bits exactly if some value differs from either in at most one, so each node
-sends its 65 such values and meets its partners there. This is exact, and linear in the number of nodes.
+pairs. Beyond `block_pairs` nodes a key is not joined with itself; the bits that it leaves open are cut into blocks
+again, by the same argument, and its nodes are joined on the longer keys. Keys of 64 bits in 4 blocks with 2 bits apart
+fix 32 bits, then 48, then 56: a key of the last round leaves 8 bits open, so that no more than 256 different
+fingerprints can share it, and is joined whatever its size. So pairs grow as nodes, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from palisade.llm.common import drop_stored, stored
 
 SHINGLE, BITS_APART, BLOCKS, BLOCK_PAIRS, SEED = 3, 2, 4, 16, 42
+#: A key that leaves so many bits open has at most 2**8 different fingerprints.
+OPEN_BITS = 8
 _PIECE = 1 << 16
 
 
@@ -69,25 +72,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def refined(mask: int, blocks: int, apart: int) -> list[int]:
+    """Longer masks for two values that agree under mask: its open bits cut into blocks again."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    edges = [len(bits) * k // blocks for k in range(blocks + 1)]
+    of = [sum(1 << b for b in bits[edges[k] : edges[k + 1]]) for k in range(blocks)]
+    return sorted({mask | sum(m) for m in combinations(of, blocks - apart)})
+
+
 def links(nodes: DataFrame, blocks: int = BLOCKS, block_pairs: int = BLOCK_PAIRS) -> DataFrame:
-    """Links a < b between different fingerprints that lead to the same components as all pairs at most 2 bits apart.
+    """All links a < b between different fingerprints that are at most 2 bits apart.
 
-    nodes: fp, all different. Within keys of at most block_pairs nodes, exactly the pairs that close; within larger
-    ones, links of each node to the smallest node that shares a midpoint with it.
+    nodes: fp, all different.
     """
-    masks = block_masks(blocks, BITS_APART)
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("k", "v"))
-    sizes = keyed.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    keyed = stored(keyed.join(sizes, ["k", "v"]), "simhash-keys")
-    few = keyed.where(F.col("n") <= block_pairs)
-    a, b = few.select("k", "v", F.col("fp").alias("a")), few.select("k", "v", F.col("fp").alias("b"))
-    pairs = a.join(b, ["k", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART)).select("a", "b")
-    many = keyed.where(F.col("n") > block_pairs).select("fp").distinct()
-    flips = F.array(*[F.lit(x) for x in [0, *(_signed(1 << k) for k in range(64))]])
-    mids = many.select("fp", F.explode(flips).alias("bit")).select("fp", F.col("fp").bitwiseXOR(F.col("bit")).alias("mid"))
-    least = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("mid", "a")
-    stars = mids.join(least, "mid").where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
+    masks, found = block_masks(blocks, BITS_APART), None
+    keyed = nodes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("m"))
+    while True:
+        # keys of few open bits are joined whatever their size
+        last = max(64 - m.bit_count() for m in masks) <= OPEN_BITS
+        keyed = keyed.select("fp", "m", F.col("fp").bitwiseAND(F.col("m")).alias("v"))
+        sizes = keyed.groupBy("m", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        keyed = stored(keyed.join(sizes, ["m", "v"]), "simhash-keys")
+        few = keyed if last else keyed.where(F.col("n") <= block_pairs)
+        a, b = few.select("m", "v", F.col("fp").alias("a")), few.select("m", "v", F.col("fp").alias("b"))
+        pairs = a.join(b, ["m", "v"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS_APART)).select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        many = keyed.where(F.col("n") > block_pairs).select("fp", "m")
+        if last or many.isEmpty():
+            return found.distinct()
+        # a longer key can come from several shorter ones
+        longer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(z)) for z in refined(m, blocks, BITS_APART)]))])
+        keyed = many.select("fp", F.explode(F.element_at(longer, F.col("m"))).alias("m")).distinct()
+        masks = sorted({z for m in masks for z in refined(m, blocks, BITS_APART)})
 
 
 def components(edges: DataFrame) -> DataFrame:
