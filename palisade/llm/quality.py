@@ -1,11 +1,12 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network.
 
-*Word vectors.* Words are hashed to BUCKETS rows. Each row has a sparse index vector (a few +1 and -1, drawn from a
-seeded generator); a word's vector is its index vector plus the mean of its neighbours' index vectors in all texts,
-labelled or not. The *shape* of a word (letters by case, digits, other signs, with repeats squeezed) has a vector of its own.
+*Word vectors.* Words, in lower case, are hashed to BUCKETS rows. Each row has a sparse index vector (a few +1 and -1,
+drawn from a seeded generator); a word's vector is its index vector plus the mean of its neighbours' index vectors in
+all texts, labelled or not.
 
-*Pooling.* A document is the mean of its words' vectors, the mean of the products of adjacent ones (which words that
-repeat raise), the same for shapes, and the logarithm of its length. Whole texts are read, in pieces.
+*Pooling.* A document is the mean of its words' vectors, their spread (the standard deviation of each dimension) and
+the mean of the products of adjacent ones, which words that follow each other as they do in other texts, or repeat,
+raise. Nothing but word vectors goes in. Whole texts are read, in pieces.
 
 *Network.* tanh hidden layer and a logistic output in numpy, trained by Adam on a bounded sample of labelled rows;
 a temperature found on rows kept from training makes the scores probabilities.
@@ -13,11 +14,9 @@ a temperature found on rows kept from training makes the scores probabilities.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +26,24 @@ from pyspark.sql import types as T
 
 from palisade.llm.common import stored
 
-BUCKETS, DIM, SHAPES, SHAPE_DIM = 1 << 15, 32, 256, 24
+BUCKETS, DIM = 1 << 15, 64
+WIDTH = 3 * DIM
 #: The bound on labelled rows of each label that the classifier is fitted on.
 SAMPLE = 4000
 THRESHOLD = 0.3
-_PIECE = 1 << 15
+_PIECE = 1 << 14
 #: Words whose neighbours are added up at once.
-_BATCH = 1 << 17
+_BATCH = 1 << 18
 _CACHE = 200_000
 
-_CLASS = bytes.maketrans(bytes(range(256)), bytes(ord("X") if 65 <= b <= 90 else ord("9") if 48 <= b <= 57 else ord("x") if 97 <= b <= 122 or b >= 128 else b for b in range(256)))
-_SAME = re.compile(rb"(.)\1+", re.DOTALL)
-
 
 class _Codes(dict):
-    """word -> its bucket and shape in one number; emptied when it has grown large."""
+    """word -> its bucket; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE:
             self.clear()
-        shape = zlib.crc32(_SAME.sub(rb"\1", word.translate(_CLASS))) % SHAPES
-        code = self[word] = (zlib.crc32(word.lower()) % BUCKETS) * SHAPES + shape
+        code = self[word] = zlib.crc32(word.lower()) % BUCKETS
         return code
 
 
@@ -64,35 +60,31 @@ def index_vectors(rows: int, dim: int, seed: int) -> np.ndarray:
 
 
 def pieces(text: str | None) -> Iterator[np.ndarray]:
-    """The codes of a text's words, in pieces that overlap by one word."""
+    """The buckets of a text's words, in pieces that overlap by one word."""
     words = (text or "").encode().split()
     for at in range(0, len(words), _PIECE):
         part = words[max(0, at - 1) : at + _PIECE]
         yield np.fromiter(map(_codes.__getitem__, part), np.int64, len(part))
 
 
-def pool(text: str | None, vectors: np.ndarray, shapes: np.ndarray) -> np.ndarray:
-    d, s = vectors.shape[1], shapes.shape[1]
-    out = np.zeros(2 * (d + s) + 2, np.float64)
+def pool(text: str | None, vectors: np.ndarray) -> np.ndarray:
+    """Mean, spread and mean product of neighbours of the vectors of a text's words; zeros for no words."""
+    total, squares, products = np.zeros((3, vectors.shape[1]), np.float64)
     n = 0
     for codes in pieces(text):
-        w, h = vectors[codes // SHAPES], shapes[codes % SHAPES]
-        new = slice(1 if n else 0, None)
-        out[:d] += w[new].sum(0)
-        out[d : d + s] += h[new].sum(0)
-        out[d + s : 2 * d + s] += np.einsum("ij,ij->j", w[1:], w[:-1])
-        out[2 * d + s : 2 * (d + s)] += np.einsum("ij,ij->j", h[1:], h[:-1])
-        out[-2] += np.count_nonzero(codes[1:] == codes[:-1])
-        n += len(codes) - (1 if n else 0)
-    out[:-1] /= max(1, n)
-    out[-1] = log1p(n)
-    return out
+        v = vectors[codes]
+        new = v[1:] if n else v
+        total += new.sum(0)
+        squares += np.einsum("ij,ij->j", new, new)
+        products += np.einsum("ij,ij->j", v[1:], v[:-1])
+        n += len(new)
+    mean = total / max(1, n)
+    return np.concatenate([mean, np.sqrt(np.maximum(squares / max(1, n) - mean * mean, 0)), products / max(1, n)])
 
 
 @dataclass
 class Model:
     vectors: np.ndarray
-    shapes: np.ndarray
     mean: np.ndarray = field(default_factory=lambda: np.zeros(1))
     scale: np.ndarray = field(default_factory=lambda: np.ones(1))
     w1: np.ndarray = field(default_factory=lambda: np.zeros((1, 1)))
@@ -138,7 +130,7 @@ def learn_vectors(texts: Iterator[str | None]) -> np.ndarray:
     n = 0
     for text in texts:
         for k, codes in enumerate(pieces(text)):
-            held.append(codes // SHAPES)
+            held.append(codes)
             again.append(k > 0)
             n += len(codes)
             if n >= _BATCH:
@@ -156,12 +148,12 @@ def neighbour_sums(docs: DataFrame) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = learn_vectors(t for b in batches for t in b.column(0).to_pylist())
         seen = np.flatnonzero(part[:, DIM])
-        yield pa.record_batch([pa.array(seen, pa.int32()), *[pa.array(part[seen, i]) for i in range(DIM + 1)]], names=["bucket", *names])
+        yield pa.record_batch([pa.array(seen, pa.int32()), *[pa.array(np.rint(2 * part[seen, i]).astype(np.int64)) for i in range(DIM + 1)]], names=["bucket", *names])
 
-    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sums, "bucket int, " + ", ".join(f"{c} double" for c in names))
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sums, "bucket int, " + ", ".join(f"{c} long" for c in names))
     got = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # at most BUCKETS rows
     out = np.zeros((BUCKETS, DIM + 1), np.float64)
-    out[got["bucket"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], axis=1)
+    out[got["bucket"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], axis=1) / 2  # halves travel as whole numbers
     return out
 
 
@@ -225,17 +217,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     some = stored(some, "quality-labels")  # at most 2 * sample rows
     text = docs.select(F.col("doc_id").cast("long").alias("label_id"), F.col("text").cast("string").alias("text"))
     rows = stored(text.join(F.broadcast(some), "label_id"), "quality-sample")
-    model = Model(word_vectors(neighbour_sums(docs)), index_vectors(SHAPES, SHAPE_DIM, 2))
+    model = Model(word_vectors(neighbour_sums(docs)))
     got = rows.select("label", "text").mapInArrow(_pooled(model), "label int, x binary").collect()  # a vector a row
-    width = 2 * (DIM + SHAPE_DIM) + 2
-    x = np.array([np.frombuffer(r["x"], np.float64) for r in got]).reshape(-1, width)
+    x = np.array([np.frombuffer(r["x"], np.float64) for r in got]).reshape(-1, WIDTH)
     y = np.array([r["label"] for r in got], np.float64)
     order = np.lexsort((*x.T[:4], y)) if len(y) else np.arange(0)  # rows come in any order; the fit must not depend on it
     x, y = x[order], y[order]
     if len(set(y.tolist())) < 2:
         p = float(y.mean()) if len(y) else 0.5
-        model.mean, model.scale = np.zeros(width), np.ones(width)
-        model.w1, model.b1, model.w2 = np.zeros((width, 1)), np.zeros(1), np.zeros(1)
+        model.mean, model.scale = np.zeros(WIDTH), np.ones(WIDTH)
+        model.w1, model.b1, model.w2 = np.zeros((WIDTH, 1)), np.zeros(1), np.zeros(1)
         model.b2 = float(np.log((p + 1e-3) / (1 - p + 1e-3)))
         return model
     model = train(model, x, y)
@@ -245,11 +236,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _pooled(model: Model):
-    vectors, shapes = model.vectors, model.shapes
+    vectors = model.vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [pool(t, vectors, shapes).tobytes() for t in batch.column(1).to_pylist()]
+            x = [pool(t, vectors).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(x, pa.binary())], names=["label", "x"])
 
     return run
@@ -259,7 +250,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     """Columns row (a struct of the columns in carry, doc_id if not given) and score of every row of docs.
 
     A null or empty text is pooled as a text of no words and gets that vector's score. The score depends on the text
-    alone, so equal texts score alike. The model (about 4 MB) goes to the executors as a broadcast variable.
+    alone, so equal texts score alike. The model (about 8 MB) goes to the executors as a broadcast variable.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -267,7 +258,7 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
         m = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            x = np.array([pool(t, m.vectors, m.shapes) for t in texts]).reshape(len(texts), -1)
+            x = np.array([pool(t, m.vectors) for t in texts]).reshape(len(texts), -1)
             yield pa.record_batch([batch.column(0), pa.array(m.score(x) if len(texts) else [], pa.float64())], names=["row", "score"])
 
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry or ["doc_id"]]).alias("row"), F.col("text").cast("string").alias("text"))
@@ -275,5 +266,9 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold, with all their columns."""
+    """The rows of docs that score at least threshold, with all their columns.
+
+    The classifier is fitted on docs and labels first; see fit and score for nulls and missing labels. Repeated rows
+    are kept or dropped together, as the score depends on the text alone; an empty table gives an empty result.
+    """
     return score(docs, fit(docs, labels), docs.columns).where(F.col("score") >= threshold).select("row.*")
