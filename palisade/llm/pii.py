@@ -58,6 +58,25 @@ def _is_phone(m: Column) -> Column:
     return F.length(_digits(m)).between(9, 15)
 
 
+# ---- Fixed values: the length of an IBAN by country (ISO 13616) ----
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT",
+    26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC",
+}
+# ---- End of fixed values ----
+
+
+def _iban_pattern() -> str:
+    """Country, two digits and as many further signs as the country has, in groups of four, with or without spaces."""
+    kinds = []
+    for n, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        kinds.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{fours}}}" + (f"\\x20?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return "(?:" + "|".join(kinds) + ")"
+
+
 def _is_iban(m: Column) -> Column:
     """ISO 7064 mod 97-10: country and check digits moved to the end, letters as 10 to 35, remainder 1."""
     raw = F.regexp_replace(m, " ", "")
@@ -67,24 +86,42 @@ def _is_iban(m: Column) -> Column:
         F.lit(0),
         lambda acc, c: F.when(c == "", acc).when(c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97),
     )
-    return F.length(raw).between(15, 34) & (rest == 1)
+    return rest == 1
 
 
 def _is_ssn(m: Column) -> Column:
     return ~m.rlike(r"\A(?:000|666|9)") & ~m.rlike(r"\A...-00-") & ~m.rlike(r"-0000\z")
 
 
+def _bits(m: Column) -> Column:
+    """Shannon entropy in bits a character."""
+    n = F.length(m).cast("double")
+
+    def add(acc: Column, c: Column) -> Column:
+        share = (F.length(m) - F.length(F.replace(m, c, F.lit("")))) / n
+        return acc - share * F.log2(share)
+
+    return F.aggregate(F.filter(F.array_distinct(F.split(m, "")), lambda c: c != ""), F.lit(0.0), add)
+
+
+def _is_secret(m: Column) -> Column:
+    """A run of 20 to 200 signs with letters and digits among them, and at least 3 bits of entropy a sign."""
+    return F.when(F.length(m).between(20, 200) & m.rlike("[0-9]") & m.rlike("[A-Za-z]"), _bits(m) >= SECRET_BITS).otherwise(F.lit(False))
+
+
+SECRET_BITS = 3.0
 #: Fixed by the contract, in its order: these four are always reported.
 BASE = (
     Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", None, 0.9, r"e-?mail|mail|contact|write|address"),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", ".", _is_ip, 0.6, r"\bip\b|host|server|address|login|client"),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", ".", _is_ip, 0.6, r"(?:^|[^a-z0-9])ip(?:[^a-z0-9]|$)|host|server|address|login|client"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", _is_card, 0.7, r"card|credit|debit|visa|master|payment|account"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", _is_phone, 0.7, r"phone|tel|call|mobile|fax|whatsapp|contact"),
 )
 #: Added by the method; they need a checksum or context to be reported.
 MORE = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", "", _is_iban, 0.8, r"iban|bank|account|transfer|bic|swift", least=0.6),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", _is_ssn, 0.3, r"ssn|social\s+security|taxpayer|\btin\b", least=0.6),
+    Kind("iban", rf"(?<![A-Za-z0-9_]){_iban_pattern()}(?![A-Za-z0-9_])", "", _is_iban, 0.8, r"iban|bank|account|transfer|bic|swift", least=0.6),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", _is_ssn, 0.3, r"ssn|social[ \t\n]+security|taxpayer", least=0.6),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", "", _is_secret, 0.3, r"token|secret|api[ _-]?key|passw|credential|bearer|private[ _-]?key", least=0.6, reach=24),
 )
 KINDS = BASE + MORE
 
