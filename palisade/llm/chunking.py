@@ -4,7 +4,8 @@ A gear hash runs over the UTF-8 bytes: every step shifts the sum left and adds a
 16-bit hash at a place depends on the last 16 bytes only and an insertion shifts boundaries without changing them. A
 chunk ends where the hash has zeros under a mask; normalised chunking takes a strict mask before the normal size and a
 loose one after it, which draws the sizes together. The fingerprint is the set of the chunks' digests with their
-lengths; how much of a document another contains is the length of the shared digests over that of its own.
+lengths; how much of a document another contains is the length of the shared digests over that of its own. Texts of
+less than MIN bytes or a little more are one chunk, so their likeness is 0 or 1.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import small_table
+from palisade.llm.common import folded, small_table
 
 MIN, NORMAL, MAX = 24, 64, 256
 STRICT, LOOSE = 0x7F, 0x1F  # masks of 7 and 5 bits
@@ -112,7 +113,7 @@ def _part(cuts: list[int]) -> Column:
     """The place of id among the ascending cuts, counted from the top: binary search in the literal array."""
     if not cuts:
         return F.lit(0)
-    arr, m = F.array(*[F.lit(c).cast("long") for c in cuts]), len(cuts)
+    arr, m = folded(cuts, "array<bigint>"), len(cuts)
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(m.bit_length()))])
 
     def step(pos: Column, k: Column) -> Column:
@@ -125,7 +126,8 @@ def with_next(docs: DataFrame, rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """The rows of docs dealt to ranges of doc_id in descending order, each range followed by the first row of the next one.
 
     Columns doc_id, text, echo (the row stands for the next range's first). The ranges hold about rows_a_part
-    rows; their bounds and first ids come from the ids alone, and the driver sees one row a range. Ties go by text.
+    rows; their bounds and first ids come from the ids alone, and the driver sees one row a range (32 768 at most; larger
+    tables have larger ranges, which tasks sort on disk and stream). Ties go by text.
     """
     least = -(1 << 63)  # stands for a null doc_id, which comes last
     text = F.col("text").cast("string")

@@ -80,6 +80,11 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
 
+def folded(values: list, kind: str) -> Column:
+    """A constant of the given type, written as one JSON literal that the optimizer folds: one call however many values."""
+    return F.from_json(F.lit(json.dumps({"x": values})), f"struct<x:{kind}>")["x"]
+
+
 def unit_hash(key: str | Column, seed: int) -> Column:
     """A number in (0, 1) that is a function of the key's text and the seed: 52 bits of MD5, which SQL engines share."""
     digits = F.substring(F.md5(F.concat(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 13)
