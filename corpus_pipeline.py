@@ -12,24 +12,30 @@ from palisade.llm.common import documents, stored
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit the quality classifier on the labelled rows of docs and drop the rows that it rejects."""
+    """Fit the quality classifier on the labelled rows of docs and drop the rows that it rejects.
+
+    Null and empty texts are scored as texts of no words; equal texts go or stay together.
+    """
     return quality.drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows with equal texts, up to white space, the one with the smallest doc_id stays; null texts count as empty, a null doc_id as the largest."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of rows whose fingerprints are linked, the one with the smallest doc_id stays; texts without words are one group."""
     return simhash.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the mix takes twice or three times stand there as often."""
+    """Rows that the mix takes twice or three times stand there as often; texts without words are left out, a null source is one of its own."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a sequence; null texts are packed as empty ones, each row by itself."""
     return packing.pack(docs)
 
 
