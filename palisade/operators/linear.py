@@ -86,7 +86,7 @@ def vocabulary(counts: DataFrame, n_docs: int, min_df: int = MIN_DF, features: i
 
 def predict(docs: DataFrame, model: Model, text: str = "all_text", key: str = "skill_id") -> DataFrame:
     """key, ml_score: the logistic of the L2-normalised TF-IDF's decision; without known terms that of the intercept; 0 for an empty text."""
-    x = term_counts(docs, text, key, model.ngram, model.scrub).join(F.broadcast(model.terms), "term")
+    x = term_counts(docs, text, key, model.ngram, model.scrub).join(model.terms, "term")  # broadcast by Spark if it is small
     v = F.col("n") * F.col("idf")
     x = x.groupBy(key).agg((F.sum(v * F.col("coef")) / F.sqrt(F.sum(v * v))).alias("d"))
     y = docs.select(key, (F.coalesce(F.col(text), F.lit("")) == "").alias("none")).join(x, key, "left")
@@ -105,16 +105,16 @@ def fold(name: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.xxhash64(family(name)), F.lit(folds)).cast("int")
 
 
-def _vectors(docs: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """id, y, features: normalised sparse vectors."""
-    from pyspark.ml.feature import Normalizer
-    from pyspark.ml.functions import array_to_vector
+def _vectors(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """id, y, features: sparse vectors of length 1, of the terms of a text that are in the vocabulary."""
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.linalg import Vectors
 
-    x = term_counts(docs, "content", "id").join(F.broadcast(vocab), "term").groupBy("id").agg(F.collect_list(F.struct("idx", (F.col("n") * F.col("idf")).alias("v"))).alias("e"))
-    m = F.map_from_entries("e")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0)))
-    x = docs.select("id", (F.lower(F.coalesce("label", F.lit(""))) == "malicious").cast("double").alias("y")).join(x, "id").select("id", "y", array_to_vector(dense).alias("raw"))
-    return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(x).select("id", "y", "features")
+    terms = vocab.orderBy("idx").select("term", "idf").collect()  # at most `features` rows
+    counts = CountVectorizerModel.from_vocabulary([t.term for t in terms] or ["\x00"], "terms", "counts")
+    weights = ElementwiseProduct(scalingVec=Vectors.dense([t.idf for t in terms] or [0.0]), inputCol="counts", outputCol="raw")
+    x = docs.select("id", (F.lower(F.coalesce("label", F.lit(""))) == "malicious").cast("double").alias("y"), grams(tokens(F.coalesce("content", F.lit("")))).alias("terms"))
+    return Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(weights.transform(counts.transform(x))).select("id", "y", "features")
 
 
 def _fit(rows: DataFrame, rounds: int):
@@ -127,24 +127,50 @@ def _fit(rows: DataFrame, rounds: int):
 
 
 def train(docs: DataFrame, min_df: int = MIN_DF, features: int = FEATURES, rounds: int = 200) -> Model:
-    """Fit on all of docs (id, content, label) and freeze."""
+    """Fit on all of docs (id, content, label) and freeze. The model, a few thousand rows, is made on the driver."""
+    return _trained(docs, min_df, features, rounds)[0]
+
+
+def _trained(docs: DataFrame, min_df: int, features: int, rounds: int):
     spark = docs.sparkSession
-    vocab = vocabulary(term_counts(docs, "content", "id"), docs.count(), min_df, features).cache()
-    size = vocab.count()
-    fitted = _fit(_vectors(docs, vocab, size), rounds)
-    coef = spark.createDataFrame(list(enumerate(map(float, fitted.coefficients.toArray()))), "idx int, coef double")
-    return Model(vocab.join(coef, "idx").select("term", "idx", "idf", "coef"), float(fitted.intercept))
+    top = vocabulary(term_counts(docs, "content", "id"), docs.count(), min_df, features).orderBy("idx").collect()  # at most `features` rows
+    vocab = spark.createDataFrame([tuple(t) for t in top], "term string, idx int, idf double")
+    vectors = _vectors(docs, vocab).persist()
+    try:
+        fitted = _fit(vectors, rounds)
+    finally:
+        vectors.unpersist()
+    rows = [(t.term, t.idx, t.idf, float(c)) for t, c in zip(top, fitted.coefficients.toArray(), strict=False)]
+    return Model(spark.createDataFrame(rows, "term string, idx int, idf double, coef double"), float(fitted.intercept)), fitted, vocab
+
+
+def parity(docs: DataFrame, min_df: int = MIN_DF, features: int = FEATURES, rounds: int = 200) -> float:
+    """The largest difference, over docs, between the frozen model's score by a join and the fitted pipeline's own probability."""
+    model, fitted, vocab = _trained(docs, min_df, features, rounds)
+    from pyspark.ml.functions import vector_to_array
+
+    own = fitted.transform(_vectors(docs, vocab)).select("id", vector_to_array("probability")[1].alias("p"))
+    both = predict(docs.where("content <> ''"), model, "content", "id").join(own, "id")
+    return both.agg(F.max(F.abs(F.col("ml_score") - F.col("p")))).first()[0] or 0.0
 
 
 def cross_validate(docs: DataFrame, folds: int = FOLDS, **settings) -> list[dict]:
     """Precision, recall and F1 of each fold; families stay together. docs also has skill_name."""
     out = []
-    x = docs.withColumn("fold", fold(F.col("skill_name"), folds)).cache()
-    for k in range(folds):
-        model = train(x.where(F.col("fold") != k), **settings)
-        test = x.where(F.col("fold") == k)
-        p = predict(test, model, "content", "id").join(test.select("id", "label"), "id")
-        hit, said, real = p.agg(F.count_if((F.col("ml_score") >= 0.5) & (F.col("label") == "malicious")), F.count_if(F.col("ml_score") >= 0.5), F.count_if(F.col("label") == "malicious")).first()
-        precision, recall = hit / said if said else 0.0, hit / real if real else 0.0
-        out.append({"precision": precision, "recall": recall, "f1": 2 * precision * recall / (precision + recall) if hit else 0.0})
+    x = docs.withColumn("fold", fold(F.col("skill_name"), folds)).persist()
+    try:
+        for k in range(folds):
+            model = train(x.where(F.col("fold") != k), **settings)
+            test = x.where(F.col("fold") == k)
+            p = predict(test, model, "content", "id").join(test.select("id", "label"), "id")
+            hit, said, real = p.agg(F.count_if((F.col("ml_score") >= 0.5) & (F.col("label") == "malicious")), F.count_if(F.col("ml_score") >= 0.5), F.count_if(F.col("label") == "malicious")).first()
+            precision, recall = hit / said if said else 0.0, hit / real if real else 0.0
+            out.append({"precision": precision, "recall": recall, "f1": 2 * precision * recall / (precision + recall) if hit else 0.0})
+    finally:
+        x.unpersist()
     return out
+
+
+def summary(scores: list[dict]) -> dict:
+    """The mean of each measure over the folds."""
+    return {k: sum(s[k] for s in scores) / len(scores) for k in ("precision", "recall", "f1")} if scores else {}
