@@ -118,10 +118,14 @@ def lowered(text: Column) -> Column:
     return F.when(~text.rlike(ODD_CASES), F.lower(text))
 
 
-def may_match(low: Column, pattern: str) -> Column:
+def quoted(x: str) -> str:
+    """x as a string literal of Spark SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def may_match_sql(low: str, pattern: str) -> str:
     """False only if the text of which low is the lowered form can't match pattern."""
     need = required(pattern)
     if not need:
-        return F.lit(True)
-    # one literal, folded to an array when the plan is made: as an array of literals it would take longer to build
-    return low.isNull() | F.exists(F.split(F.lit("\x1f".join(need)), "\x1f"), lambda n: F.contains(low, n))
+        return "true"
+    return f"({low} IS NULL OR exists(array({', '.join(map(quoted, need))}), n -> contains({low}, n)))"

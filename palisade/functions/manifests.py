@@ -7,10 +7,10 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from palisade.functions import text as tx
-from palisade.functions.literals import lowered
+from palisade.functions.literals import lowered, quoted
 from palisade.operators import catalogue as C
 
 # ---- Fixed values: field names and patterns ----
@@ -54,7 +54,7 @@ def flatten_json(text: str | None) -> str | None:
         return None
     try:
         todo = [json.loads(text)]
-    except (ValueError, RecursionError):
+    except (ValueError, RecursionError, MemoryError):
         return None
     out = []
     while todo:
@@ -79,7 +79,19 @@ def _flatten_udf(s: pd.Series) -> pd.Series:
 
 
 def flat_json(text: Column) -> Column:
-    return F.when(text.rlike(r"(?U)\A\s*[{\[]"), _flatten_udf(text))
+    """Null where the text isn't JSON; Python sees those only that begin like it."""
+    return tx.guarded(_flatten_udf, text, text.rlike(r"(?U)\A\s*[{\[]"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _with_flat_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [y for x in xs for y in (x, flatten_json(x)) if y is not None], na_action="ignore")
+
+
+def with_flat(texts: Column) -> Column:
+    """An array of texts, each followed by its flattened form where it is JSON; Python sees those rows only that have one that begins like it."""
+    some = F.exists(texts, lambda t: t.rlike(r"(?U)\A\s*[{\[]"))
+    return F.when(some, tx.guarded(_with_flat_udf, texts, some)).otherwise(texts)
 
 
 def front_matter(md: Column) -> Column:
@@ -89,12 +101,15 @@ def front_matter(md: Column) -> Column:
 
 def field(raw: Column, names: tuple[str, ...]) -> Column:
     """The value of the first of names that occurs, JSON or YAML style; "" for none."""
-    out = F.lit("")
+    out = "''"
     for n in reversed(names):
-        pattern = rf'{tx.FLAGS}(?:"{n}"|\b{n})\s*[:=]\s*"?([^"\n,}}\]]+)'
-        value = F.btrim(F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"(?U)\A\s+|\s+\z", ""), F.lit("'\"` "))
-        out = F.when(raw.rlike(pattern), value).otherwise(out)
-    return out
+        pattern = quoted(rf'{tx.FLAGS}(?:"{n}"|\b{n})\s*[:=]\s*"?([^"\n,}}\]]+)')
+        value = f"btrim(regexp_replace(regexp_extract(d.raw, {pattern}, 1), {quoted(_ENDS)}, ''), {quoted(_MARKS)})"
+        out = f"if(d.raw rlike {pattern}, {value}, {out})"
+    return tx.over(out, raw=raw)
+
+
+_ENDS, _MARKS = r"(?U)\A\s+|\s+\z", "'\"` "
 
 
 def manifest(files: Column, md: Column) -> Column:
@@ -104,23 +119,24 @@ def manifest(files: Column, md: Column) -> Column:
     """
     fm = front_matter(md)
     parts = F.concat(F.filter(files, lambda t: t.isNotNull() & (t != "")), F.when(fm.isNotNull(), F.array(fm)).otherwise(F.array().cast("array<string>")))
-    raw = F.array_join(parts, "\n")
-    low = F.lower(raw)
-    return F.struct(
-        (F.size(parts) > 0).alias("present"),
-        field(raw, NAME_FIELDS).alias("name"),
-        field(raw, DESCRIPTION_FIELDS).alias("description"),
-        field(raw, AUTHOR_FIELDS).alias("author"),
-        field(raw, VERSION_FIELDS).alias("version"),
-        raw.alias("raw_text"),
-        F.filter(F.array(*map(F.lit, PLATFORMS)), lambda p: F.contains(low, p)).alias("platforms"),
-    )
+    fields = {"name": NAME_FIELDS, "description": DESCRIPTION_FIELDS, "author": AUTHOR_FIELDS, "version": VERSION_FIELDS}
+
+    def of(v: Column) -> Column:
+        known = {k: field(v["raw"], names) for k, names in fields.items()}
+        return F.struct(
+            (F.size(v["parts"]) > 0).alias("present"),
+            *[c.alias(k) for k, c in known.items()],
+            v["raw"].alias("raw_text"),
+            F.filter(tx.strings(PLATFORMS), lambda p: F.contains(F.lower(v["raw"]), p)).alias("platforms"),
+        )
+
+    return tx.let(of, parts=parts, raw=F.array_join(parts, "\n"))
 
 
 def look_alike(name: Column, known: tuple[str, ...] = C.KNOWN_NAMES) -> Column:
     """The first known name that is 1 or 2 edits from name, unless an equal one stands before it; null if none."""
     bare = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
-    marks = F.transform(F.array(*map(F.lit, known)), lambda k: F.struct(k.alias("k"), F.levenshtein(bare, k, 2).alias("d")))
+    marks = F.transform(tx.strings(known), lambda k: F.struct(k.alias("k"), F.levenshtein(bare, k, 2).alias("d")))
     first = F.get(F.filter(marks, lambda m: m["d"].between(0, 2)), F.lit(0))
     return F.when(F.length(bare).between(3, 24) & (first["d"] >= 1), first["k"])
 
@@ -131,12 +147,12 @@ def signals(doc: dict[str, Column]) -> list[tuple[str, Column]]:
     raw, name, description = man["raw_text"], man["name"], man["description"]
     some = F.length(raw) > 0
     perm = some & tx.has_match(raw, PERMISSION_KEY)
-    path = tx.let(lambda v: F.get(F.filter(F.array(*map(F.lit, C.SENSITIVE_PATHS)), lambda p: F.contains(v["low"], p)), F.lit(0)), low=F.lower(all_text))
+    path = tx.let(lambda v: F.get(F.filter(tx.strings(C.SENSITIVE_PATHS), lambda p: F.contains(v["low"], p)), F.lit(0)), low=F.lower(all_text))
     open_ = F.when(some, tx.first_match(raw, NO_SANDBOX))
     bare = path.isNotNull() & ~(some & tx.has_match(raw, ISOLATION_WORD))
     drift = F.when(some & ~tx.has_match(raw, INTEGRITY), tx.first_match(raw, DRIFT))
     alike = F.when(name != "", look_alike(name))
-    starts = tx.let(lambda v: F.array_compact(F.array(*[tx.first_match(all_text, p, v["low"]) for p in AUTOSTART])), low=lowered(all_text))
+    starts = tx.over(f"array_compact(array({', '.join(tx.first_sql('d.t', p, 'd.low') for p in AUTOSTART)}))", t=all_text, low=lowered(all_text))
     several = tx.let(lambda v: F.when(F.size(v["starts"]) >= 2, F.array_join(v["starts"], " / ")), starts=starts)
     out = [
         ("S_over_privileged", F.when(perm, tx.first_match(raw, BROAD_PERMISSION))),

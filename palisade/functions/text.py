@@ -1,7 +1,10 @@
 """Text functions as Column builders: normalisation, confusables, entropy, blobs, decoding, match offsets.
 
-Everything is built from Spark's own functions but NFKC, which Spark lacks; it runs as an Arrow UDF, and only on texts
-that hold a character outside ASCII.
+Everything is built from Spark's own functions but NFKC, which Spark lacks; it runs as an Arrow UDF, which sees null
+for every text that is ASCII only.
+
+What the rules of the catalogue use is written in SQL (names end in `_sql`), as it would take thousands of calls to
+build from columns; `over` makes a column of it.
 """
 
 from __future__ import annotations
@@ -12,9 +15,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from palisade.functions.literals import may_match
+from palisade.functions.literals import may_match_sql, quoted
 
 #: Flags under which patterns mean in Java what they mean in Python's re.IGNORECASE.
 FLAGS = "(?iuU)"
@@ -27,12 +30,13 @@ CONFUSABLE_FROM = "аеосрхуѕіјкмнтвԁѵӏԛԝгΑΒΕΖΗΙΚΜΝ
 CONFUSABLE_TO = "aeocpxysijkmhtbdvlqwrABEZHIKMNOPTXYopvaeik"
 MIXED_TOKEN = r"[A-Za-z\x{400}-\x{4FF}\x{370}-\x{3FF}\x{2010}-\x{2015}]{2,}"
 MAX_TOKENS = 50_000
-BLOB = r"[A-Za-z0-9+/=_-]{120,}"
-BASE64_RUN = r"[A-Za-z0-9+/=_-]{40,}"
+# a run can only be found from its start, so that shorter ones are passed over at once
+BLOB = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{120,}+"
+BASE64_RUN = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{40,}+"
 HEX_RUN = r"(?U)\b[0-9a-fA-F]{40,}\b"
 MAX_BLOBS, MAX_DECODED = 24, 8192
+_SPACE = r"(?U)\s+"
 
-# Written in SQL, as these are used for each rule and would take thousands of calls to build from columns.
 _NONE = "cast(array() AS array<struct<start:int,match:string>>)"
 #: v (m: matches, g: gaps) -> their places. Places are added to those of a block, and blocks to the whole, so that few
 #: copies of long arrays are made.
@@ -44,7 +48,7 @@ _WALK = f"""v -> if(size(v.m) = 0, {_NONE}, aggregate(
       'pos', s.pos + length(element_at(v.g, i)) + length(element_at(v.m, i)),
       'out', concat(s.out, array(named_struct('start', s.pos + length(element_at(v.g, i)), 'match', element_at(v.m, i))))),
     s -> named_struct('pos', s.pos, 'out', concat(t.out, s.out)))).out)"""
-#: v (a, b: places) -> see _first_close.
+#: v (a, b: places) -> see near_sql.
 _CLOSE = """v -> get(transform(array(aggregate(
   array_sort(concat(transform(v.a, x -> named_struct('pos', x.start, 'side', 0)), transform(v.b, x -> named_struct('pos', x.start, 'side', 1)))),
   named_struct('a', -1000000000, 'b', -1000000000, 'low', cast(null AS int)),
@@ -57,7 +61,14 @@ _CLOSE = """v -> get(transform(array(aggregate(
 
 @F.pandas_udf(StringType())
 def _nfkc_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+    return s.map(_fold, na_action="ignore")
+
+
+def _fold(x: str) -> str | None:
+    try:
+        return unicodedata.normalize("NFKC", x)
+    except Exception:  # one text must not end the job; its package is reported as failed
+        return None
 
 
 def let(body: Callable[[Column], Column], **values: Column) -> Column:
@@ -65,6 +76,11 @@ def let(body: Callable[[Column], Column], **values: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body), F.lit(0))
 
 
+def over(sql: str, **values: Column) -> Column:
+    """An SQL expression over `d`, a struct of values that are worked out once."""
+    return F.get(F.call_function("transform", F.array(F.struct(*[v.alias(k) for k, v in values.items()])), F.expr(f"d -> {sql}")), F.lit(0))
+
+
 def fixed(value: Column) -> Column:
     """value behind a test that always holds but counts as non-deterministic: it is worked out where it stands, once a row.
 
@@ -73,9 +89,27 @@ def fixed(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def guarded(udf: Callable[[Column], Column], text: Column, condition: Column) -> Column:
+    """udf(text) where condition holds, else null. Spark works a Python UDF out for every row whatever stands around it,
+    so the condition is put inside: other rows reach Python as null."""
+    return udf(F.when(condition, text))
+
+
 def nfkc(text: Column) -> Column:
-    """NFKC; identity on ASCII."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc_udf(text)).otherwise(text)
+    """NFKC; identity on ASCII; null where Python could not do it."""
+    wide = text.rlike(r"[^\x00-\x7F]")
+    return F.when(wide, guarded(_nfkc_udf, text, wide)).otherwise(text)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_all_udf(s: pd.Series) -> pd.Series:
+    return s.map(lambda xs: [None if x is None else _fold(x) for x in xs], na_action="ignore")
+
+
+def nfkc_all(texts: Column) -> Column:
+    """nfkc of each of an array of texts."""
+    wide = F.exists(texts, lambda t: t.rlike(r"[^\x00-\x7F]"))
+    return F.when(wide, guarded(_nfkc_all_udf, texts, wide)).otherwise(texts)
 
 
 def count_invisible(text: Column) -> Column:
@@ -87,7 +121,7 @@ def strip_invisible(text: Column) -> Column:
 
 
 def collapse_ws(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, _SPACE, " "))
 
 
 def deconfuse(text: Column) -> Column:
@@ -139,10 +173,40 @@ def decoded(text: Column) -> Column:
     return F.transform(some, lambda b: F.make_valid_utf8(F.substring(b, 1, MAX_DECODED).cast("string")))
 
 
-def first_match(text: Column, pattern: str, low: Column | None = None) -> Column:
+def first_sql(text: str, pattern: str, low: str | None = None) -> str:
     """The first match's text; null if there is none. low: the text's lowered form, to pass over texts that can't match."""
-    found = F.regexp_substr(text, F.lit(FLAGS + pattern))
-    return found if low is None else F.when(may_match(low, pattern), found)
+    found = f"regexp_substr({text}, {quoted(FLAGS + pattern)})"
+    return found if low is None else f"if({may_match_sql(low, pattern)}, {found}, null)"
+
+
+def places_sql(text: str, pattern: str) -> str:
+    p = quoted(FLAGS + pattern)
+    return f"get(transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0), 'g', split({text}, {p}, -1))), {_WALK}), 0)"
+
+
+def near_sql(text: str, pattern: str, near: str, window: int | None, low: str | None = None) -> str:
+    """The first match of pattern that a match of near starts at most window characters from; null if none. low: as in first_sql.
+
+    Both sides' places are walked through once, in order. At the first place that is close to the last one of the
+    other side, no match of pattern before `low` can be close to any of near: those so far are too far from it, and
+    later ones are farther.
+    """
+    tests = [f"{text} rlike {quoted(FLAGS + p)}" for p in (pattern, near)]
+    if low is not None:
+        tests = [*(may_match_sql(low, p) for p in (pattern, near)), *tests]
+    found = first_sql(text, pattern)
+    if window is not None:
+        found = f"get(transform(array(named_struct('a', {places_sql(text, pattern)}, 'b', {places_sql(text, near)})), {_CLOSE.format(window=int(window))}), 0)"
+    return f"if({' AND '.join(tests)}, {found}, null)"
+
+
+def collapse_sql(text: str) -> str:
+    return f"trim(regexp_replace({text}, {quoted(_SPACE)}, ' '))"
+
+
+def first_match(text: Column, pattern: str) -> Column:
+    """The first match's text; null if there is none."""
+    return F.regexp_substr(text, F.lit(FLAGS + pattern))
 
 
 def has_match(text: Column, pattern: str) -> Column:
@@ -151,42 +215,25 @@ def has_match(text: Column, pattern: str) -> Column:
 
 def match_places(text: Column, pattern: str) -> Column:
     """All matches as an array of (start, match); starts are code points from 0. The gaps between matches give them."""
-    found = F.regexp_extract_all(text, F.lit(FLAGS + pattern), F.lit(0))
-    gaps = F.split(text, FLAGS + pattern, -1)
-    return F.get(F.call_function("transform", F.array(F.struct(found.alias("m"), gaps.alias("g"))), F.expr(_WALK)), F.lit(0))
+    return over(places_sql("d.t", pattern), t=text)
 
 
-def near_match(text: Column, pattern: str, near: str, window: int | None, low: Column | None = None) -> Column:
-    """The first match of pattern that a match of near starts at most window characters from; null if none. low: as in first_match."""
-    both = has_match(text, pattern) & has_match(text, near)
-    if low is not None:
-        both = may_match(low, pattern) & may_match(low, near) & both
-    if window is None:
-        return F.when(both, first_match(text, pattern))
-    return F.when(both, let(lambda v: _first_close(v["a"], v["b"], window), a=match_places(text, pattern), b=match_places(text, near)))
-
-
-def _first_close(a: Column, b: Column, window: int) -> Column:
-    """The first match of a, by start, with one of b at most window from it; both are walked through once, in order.
-
-    At the first place that is close to the last one of the other side, no match of a before `low` can be close to any
-    of b: those of b so far are too far from it, and later ones are farther.
-    """
-    return F.get(F.call_function("transform", F.array(F.struct(a.alias("a"), b.alias("b"))), F.expr(_CLOSE.format(window=int(window)))), F.lit(0))
+def near_match(text: Column, pattern: str, near: str, window: int | None) -> Column:
+    """near_sql as a column."""
+    return over(near_sql("d.t", pattern, near, window), t=text)
 
 
 def contains_any(text: Column, needles: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for n in needles:
-        out = out | text.contains(n)
-    return out
+    return F.exists(strings(needles), lambda n: F.contains(text, n))
 
 
 def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in prefixes:
-        out = out | text.startswith(p)
-    return out
+    return F.exists(strings(prefixes), lambda p: F.startswith(text, p))
+
+
+def strings(xs: tuple[str, ...]) -> Column:
+    """A constant array, in one call."""
+    return F.expr(f"array({', '.join(map(quoted, xs))})")
 
 
 def extension(name: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.operators import catalogue as C
-from palisade.operators.score import band
+from palisade.operators.score import judge, weigh
 
 VERDICTS = ("benign", "suspicious", "malicious")
 CREDIT = {"malicious": 1.0, "suspicious": 0.5, "benign": 0.0}
@@ -83,6 +83,18 @@ def false_positive_signals(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("truth") == "benign") & (F.col("verdict") != "benign")).select(F.explode("fired").alias("s")).groupBy(F.col("s.id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def benign_examples(rows: DataFrame, most: int = 15) -> DataFrame:
+    """The first rows, by skill_id, that were not judged benign: a report's examples."""
+    return rows.where("verdict <> 'benign'").orderBy("skill_id").limit(most)
+
+
+def completion(expected: DataFrame, written: DataFrame) -> DataFrame:
+    """n, done, rate: how many of the packages have a result."""
+    x = expected.select("skill_id").join(written.select("skill_id").distinct().withColumn("_w", F.lit(1)), "skill_id", "left")
+    x = x.agg(F.count(F.lit(1)).alias("n"), F.count("_w").alias("done"))
+    return x.withColumn("rate", _ratio(F.col("done").cast("double"), F.col("n").cast("double")))
+
+
 def benign_report(rows: DataFrame) -> DataFrame:
     """n, full- and half-credit specificity and the false-positive rate over benign rows."""
     return rows.agg(
@@ -113,15 +125,18 @@ def grid(spark, benign: tuple[int, ...], malicious: tuple[int, ...]) -> DataFram
     return spark.sql(f"SELECT * FROM VALUES {pairs} AS g(benign_max, mal_min)")
 
 
-def reband(base: DataFrame, limits: DataFrame) -> DataFrame:
-    """Every row of base (truth, and what scan found) under every pair of limits: scanned once, scored for each pair.
+#: What a row needs to be judged again under other limits.
+JUDGED_BY = ("r0", "analytic", "confirmed", "infra", "mismatch")
 
-    The limits are a few dozen rows; they are joined to the fired signals, not to the texts.
-    """
-    from palisade.operators.score import score
 
-    x = base.join(F.broadcast(limits), how="cross")
-    return score(x, thresholds=(F.col("benign_max"), F.col("mal_min")))
+def reband(base: DataFrame, limits: DataFrame, keep: tuple[str, ...] = ("truth",)) -> DataFrame:
+    """Every row of base (scan's output and `keep`) under every pair of limits: scanned and weighed once, judged for each pair.
+
+    Floor, cap and promotion move with the limits. The limits are a few dozen rows; what they are joined to is five
+    small columns, not the texts.
+    """
+    x = weigh(base).select(*keep, *JUDGED_BY)
+    return judge(x.join(F.broadcast(limits), how="cross"), thresholds=(F.col("benign_max"), F.col("mal_min")))
 
 
 def sweep(scored: DataFrame) -> DataFrame:
@@ -140,11 +155,6 @@ def calibrate(scored: DataFrame) -> DataFrame:
     return m.select("benign_max", "mal_min", "f2_a", "f2_b", "specificity", obj.alias("objective")).orderBy(*[F.desc(c) for c in ("objective", "f2_a", "f2_b", "specificity", "benign_max", "mal_min")])
 
 
-def simple_band(rows: DataFrame, limits: DataFrame) -> DataFrame:
-    """Re-band a risk score alone under every pair of limits."""
-    return rows.join(F.broadcast(limits), how="cross").withColumn("verdict", band(F.col("r"), F.col("benign_max"), F.col("mal_min")))
-
-
 def schema_problems(results: DataFrame) -> DataFrame:
     """Counts of results that break the output's rules, one column for each rule."""
     ok_category = F.col("category").isin("AST01", "AST02", "AST03", "AST04", "AST05", "AST06", "AST07", "AST08", "AST10", "")

@@ -7,44 +7,52 @@ from pyspark.sql import functions as F
 
 from palisade.functions import manifests
 from palisade.functions import text as tx
-from palisade.functions.literals import lowered
+from palisade.functions.literals import lowered, quoted
 from palisade.operators import catalogue as C
 
 MARKS = {m.id: m for m in (*C.RULES, *C.OTHER_MARKS, *C.MANIFEST_MARKS)}
 SIGNAL = "struct<ord:int,id:string,weight:int,tier:string,category:string,snippet:string>"
 
 
-def rule_snippet(rule: C.Rule, text: Column, low: Column | None = None) -> Column:
-    """The matched text of a rule, null where it does not hold. low: the text's lowered form, if it is at hand."""
+def _rule_sql(rule: C.Rule, text: str, low: str) -> str:
+    """The matched text of a rule, null where it does not hold. low: the text's lowered form."""
     if rule.near is None:
-        return tx.first_match(text, rule.pattern, low)
-    return tx.near_match(text, rule.pattern, rule.near, rule.window, low)
+        return tx.first_sql(text, rule.pattern, low)
+    return tx.near_sql(text, rule.pattern, rule.near, rule.window, low)
 
 
 def scope_text(rule: C.Rule) -> Column:
     return F.col({"md": "md", "code": "code"}.get(rule.scope, "all_text"))
 
 
-def _signal(order: int, id_: str, snippet: Column) -> Column:
+def _mark_sql(id_: str) -> str:
     m = MARKS[id_]
-    return F.struct(F.lit(order).alias("ord"), F.lit(id_).alias("id"), F.lit(m.weight).alias("weight"), F.lit(m.tier).alias("tier"), F.lit(m.category).alias("category"), snippet.alias("snippet"))
+    return f"'id', {quoted(id_)}, 'weight', {m.weight}, 'tier', {quoted(m.tier)}, 'category', {quoted(m.category)}"
 
 
-def _present(signals: list[Column]) -> Column:
-    return F.filter(F.array(*signals), lambda s: s["snippet"].isNotNull())
+def _present(base: int, signals: list[tuple[str, Column]]) -> Column:
+    """Those of (id, snippet) whose snippet is not null, as signals numbered from base."""
+    all_ = ", ".join(f"named_struct('ord', {base + i}, {_mark_sql(k)}, 'snippet', d.c{i})" for i, (k, _) in enumerate(signals))
+    return tx.over(f"filter(array({all_}), s -> s.snippet IS NOT NULL)", **{f"c{i}": c for i, (_, c) in enumerate(signals)})
 
 
-def catalogue_signals(rules: tuple[C.Rule, ...] = C.RULES, text: Column | None = None, base: int = 0) -> Column:
-    """The fired rules of the catalogue; with text, all rules look at that whatever their scope.
+def _rules_over(rules: tuple[C.Rule, ...], looks: Column) -> Column:
+    """The rules that fire, for each of `looks`: structs of base and the texts of the scopes, each in lower case too.
 
-    Each scope's text is put in lower case once, for the literals that most texts don't hold.
+    The scopes' texts are put in lower case once, for the literals that most texts don't hold.
     """
+    one = ", ".join(f"named_struct('ord', d.base + {i}, {_mark_sql(r.id)}, 'snippet', {tx.collapse_sql(_rule_sql(r, f'd.{r.scope}', f'd.low_{r.scope}'))})" for i, r in enumerate(rules))
+    return F.flatten(F.call_function("transform", looks, F.expr(f"d -> filter(array({one}), s -> s.snippet IS NOT NULL)")))
+
+
+def _look(rules: tuple[C.Rule, ...], base: int, text: Column | None = None) -> Column:
     scopes = {r.scope: scope_text(r) if text is None else text for r in rules}
+    return F.struct(F.lit(base).alias("base"), *[t.alias(k) for k, t in scopes.items()], *[lowered(t).alias(f"low_{k}") for k, t in scopes.items()])
 
-    def fired(v: Column) -> Column:
-        return _present([_signal(base + i, r.id, tx.collapse_ws(rule_snippet(r, v[r.scope], v[f"low_{r.scope}"]))) for i, r in enumerate(rules)])
 
-    return tx.let(fired, **scopes, **{f"low_{k}": lowered(t) for k, t in scopes.items()})
+def catalogue_signals(rules: tuple[C.Rule, ...] = C.RULES) -> Column:
+    """The fired rules of the catalogue."""
+    return _rules_over(rules, F.array(_look(rules, 0)))
 
 
 def other_signals() -> list[tuple[str, Column]]:
@@ -68,19 +76,18 @@ def scan(docs: DataFrame, rules: tuple[C.Rule, ...] = C.RULES) -> DataFrame:
     """docs with `fired`, the array of signals in order; a signal may occur twice (see dedupe in score).
 
     Order: the catalogue, zero width, blob, binaries, split logic, mixed scripts, the catalogue again on the text
-    with look-alike letters replaced (only where mixed scripts fired), decoded payload, manifest signals.
+    with look-alike letters replaced (only where mixed scripts fired), decoded payload, manifest signals. The catalogue
+    stands in the plan once and goes over both texts.
     """
-    x = docs.withColumn("_mixed", tx.mixed_script_token(F.col("all_text")))
-    x = x.withColumn("_rules", catalogue_signals(rules))
     n = len(rules)
+    x = docs.withColumn("_mixed", tx.fixed(tx.mixed_script_token(F.col("all_text"))))
+    looks = F.when(F.col("_mixed").isNull(), F.array(_look(rules, 0))).otherwise(F.array(_look(rules, 0), _look(rules, n + 10, tx.deconfuse(F.col("all_text")))))
+    x = x.withColumn("_rules", _rules_over(rules, looks))
     others = other_signals()
-    before, after = others[:5], others[5:]
-    x = x.withColumn("_others", _present([_signal(n + i, k, s) for i, (k, s) in enumerate(before)]))
-    again = F.when(F.col("_mixed").isNotNull(), catalogue_signals(rules, tx.deconfuse(F.col("all_text")), n + 10)).otherwise(F.array().cast(f"array<{SIGNAL}>"))
-    x = x.withColumn("_again", again)
-    late = [*after, *manifests.signals({"manifest": F.col("manifest"), "all_text": F.col("all_text")})]
-    x = x.withColumn("_late", _present([_signal(2 * n + 20 + i, k, s) for i, (k, s) in enumerate(late)]))
-    return x.withColumn("fired", tx.fixed(F.concat("_rules", "_others", "_again", "_late"))).drop("_mixed", "_rules", "_others", "_again", "_late")
+    late = [*others[5:], *manifests.signals({"manifest": F.col("manifest"), "all_text": F.col("all_text")})]
+    rest = F.concat(_present(n, others[:5]), _present(2 * n + 20, late))
+    x = x.withColumn("fired", tx.fixed(F.array_sort(F.concat("_rules", rest))))
+    return x.drop("_mixed", "_rules")
 
 
 def long_signals(scanned: DataFrame) -> DataFrame:

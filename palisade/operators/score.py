@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import text as tx
+from palisade.functions.literals import quoted
 from palisade.operators import catalogue as C
 from palisade.operators.scan import SIGNAL
 
@@ -27,8 +28,12 @@ SATURATED_AT = 90
 # ---- End of fixed values ----
 
 
-def _strings(xs: tuple[str, ...]) -> Column:
-    return F.array(*map(F.lit, xs))
+_strings = tx.strings
+
+
+def _table(pairs: dict[str, str]) -> Column:
+    """A constant map, in one call."""
+    return F.expr(f"map({', '.join(quoted(x) for kv in pairs.items() for x in kv)})")
 
 
 def _none() -> Column:
@@ -84,36 +89,48 @@ def suppress(scanned: DataFrame) -> DataFrame:
     return x.drop("_trade", "_confirmed", "_drop")
 
 
-def score(scanned: DataFrame, fast: bool = False, model_score: Column | None = None, prose_score: Column | None = None, thresholds: tuple[Column, Column] | None = None) -> DataFrame:
-    """Adds r, verdict, ml_score, synergy, ml_boosted, semantic_boosted, notes and fired in ranked order.
-
-    fast: without the mismatch step. model_score: probability of a text model (0 without one). prose_score: that of a
-    prose-injection model. thresholds: columns to use for the two band limits, for sweeps.
-    """
-    benign, malicious = thresholds or (F.lit(C.BENIGN_BELOW), F.lit(C.MALICIOUS_FROM))
+def weigh(scanned: DataFrame) -> DataFrame:
+    """What does not depend on the band limits: synergy, r0 (the clamped sum), confirmed, infra, mismatch, besides what suppress adds."""
     x = suppress(scanned)
     kept = F.col("kept")
     total = F.aggregate(kept, F.lit(0), lambda a, s: a + s["weight"])
     tiers = F.size(F.array_distinct(F.filter(F.transform(kept, lambda s: s["tier"]), lambda t: t.isin(*C.SYNERGY_TIERS))))
     x = x.withColumn("synergy", tiers >= 2)
-    x = x.withColumn("r", F.greatest(F.lit(0), F.least(F.lit(100), total + F.when(F.col("synergy"), C.SYNERGY_BONUS).otherwise(0) - F.col("penalty"))))
-    confirmed, infra = F.arrays_overlap(ids(kept), _strings(C.CONFIRMED)), F.arrays_overlap(ids(kept), _strings(C.STRONG_INFRASTRUCTURE))
-    x = x.withColumn("r", F.when(confirmed & (F.col("r") < malicious), malicious).otherwise(F.col("r")))
-    x = x.withColumn("_capped", F.col("analytic") & (F.col("r") >= malicious) & ~infra)
-    x = x.withColumn("r", tx.fixed(F.when(F.col("_capped"), malicious - 1).otherwise(F.col("r")).cast("int")))
-    x = x.withColumn("notes", F.when(F.col("_capped") & ~F.array_contains("notes", C.SECURITY_NOTE), F.concat("notes", F.array(F.lit(C.SECURITY_NOTE)))).otherwise(F.col("notes")))
+    r0 = F.greatest(F.lit(0), F.least(F.lit(100), total + F.when(F.col("synergy"), C.SYNERGY_BONUS).otherwise(0) - F.col("penalty")))
+    about = F.trim(F.lower(F.concat_ws(" ", "manifest.description", "manifest.name")))
+    mismatch = F.arrays_overlap(ids(kept), _strings(STRONG_CAPABILITY)) & tx.contains_any(about, HARMLESS_WORDS) & ~tx.contains_any(about, SECURITY_TRADE)
+    flags = {"confirmed": F.arrays_overlap(ids(kept), _strings(C.CONFIRMED)), "infra": F.arrays_overlap(ids(kept), _strings(C.STRONG_INFRASTRUCTURE)), "mismatch": mismatch}
+    return x.withColumn("r0", tx.fixed(r0.cast("int"))).withColumns({k: tx.fixed(v) for k, v in flags.items()})
+
+
+def judge(weighed: DataFrame, fast: bool = False, model_score: Column | None = None, prose_score: Column | None = None, thresholds: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds r, verdict, ml_score, ml_boosted, semantic_boosted and capped to weigh()'s r0, analytic, confirmed, infra and mismatch."""
+    benign, malicious = thresholds or (F.lit(C.BENIGN_BELOW), F.lit(C.MALICIOUS_FROM))
+    infra = F.col("infra")
+    x = weighed.withColumn("r", F.when(F.col("confirmed") & (F.col("r0") < malicious), malicious).otherwise(F.col("r0")))
+    x = x.withColumn("capped", F.col("analytic") & (F.col("r") >= malicious) & ~infra)
+    x = x.withColumn("r", F.when(F.col("capped"), malicious - 1).otherwise(F.col("r")).cast("int"))
     x = x.withColumn("verdict", band(F.col("r"), benign, malicious)).withColumn("ml_score", F.lit(0.0) if model_score is None else F.coalesce(model_score, F.lit(0.0)))
     x = x.withColumn("ml_boosted", (F.col("ml_score") >= C.MODEL_BOOST_FROM) & (F.col("verdict") != "malicious"))
     x = x.withColumn("verdict", F.when(F.col("ml_boosted"), F.when(F.col("verdict") == "benign", "suspicious").otherwise("malicious")).otherwise(F.col("verdict")))
     x = x.withColumn("_clamped", F.col("analytic") & (F.col("verdict") == "malicious") & ~infra)
     x = x.withColumn("verdict", F.when(F.col("_clamped"), "suspicious").otherwise(F.col("verdict"))).withColumn("ml_boosted", F.col("ml_boosted") & ~F.col("_clamped"))
-    about = F.trim(F.lower(F.concat_ws(" ", "manifest.description", "manifest.name")))
-    mismatch = F.arrays_overlap(ids(kept), _strings(STRONG_CAPABILITY)) & tx.contains_any(about, HARMLESS_WORDS) & ~tx.contains_any(about, SECURITY_TRADE)
     prose = F.lit(False) if prose_score is None else F.coalesce(prose_score, F.lit(0.0)) >= C.PROSE_MODEL_FROM
-    promoted = F.lit(False) if fast else (F.col("verdict") == "suspicious") & (mismatch | prose)
+    promoted = F.lit(False) if fast else (F.col("verdict") == "suspicious") & (F.col("mismatch") | prose)
     x = x.withColumn("semantic_boosted", promoted)
-    x = x.withColumn("verdict", tx.fixed(F.when(F.col("semantic_boosted"), "malicious").otherwise(F.col("verdict"))))
-    return x.withColumn("fired", ranked(F.col("kept"))).drop("kept", "_capped", "_clamped")
+    return x.withColumn("verdict", F.when(F.col("semantic_boosted"), "malicious").otherwise(F.col("verdict"))).drop("_clamped")
+
+
+def score(scanned: DataFrame, fast: bool = False, model_score: Column | None = None, prose_score: Column | None = None, thresholds: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds r, verdict, ml_score, synergy, ml_boosted, semantic_boosted, notes and fired in ranked order.
+
+    fast: without the mismatch step. model_score: probability of a text model (0 without one). prose_score: that of a
+    prose-injection model. thresholds: columns to use for the two band limits.
+    """
+    x = judge(weigh(scanned), fast, model_score, prose_score, thresholds)
+    x = x.withColumn("r", tx.fixed(F.col("r"))).withColumn("verdict", tx.fixed(F.col("verdict")))
+    x = x.withColumn("notes", F.when(F.col("capped") & ~F.array_contains("notes", C.SECURITY_NOTE), F.concat("notes", F.array(F.lit(C.SECURITY_NOTE)))).otherwise(F.col("notes")))
+    return x.withColumn("fired", ranked(F.col("kept"))).drop("kept", "capped", "r0", "confirmed", "infra", "mismatch")
 
 
 def category(verdict: Column, fired: Column) -> Column:
@@ -136,11 +153,10 @@ def confidence(verdict: Column, r: Column, ml_boosted: Column) -> Column:
     return F.round(unit(c), 3)
 
 
-def clause(signal: Column) -> Column:
-    """A signal's sentence around its quoted snippet."""
+def clause(signal: Column, table: Column) -> Column:
+    """A signal's sentence around its quoted snippet; table: the sentences by id."""
     t = F.regexp_replace(signal["snippet"], r"(?U)\A\s+|\s+\z", "")
     t = F.when(F.length(t) > C.SNIPPET_CHARS, F.concat(F.substring(t, 1, C.SNIPPET_CHARS), F.lit("…"))).otherwise(t)
-    table = F.create_map(*[F.lit(v) for kv in C.TEMPLATES.items() for v in kv])
     return F.replace(F.coalesce(F.try_element_at(table, signal["id"]), F.lit(C.OTHER_TEMPLATE)), F.lit("{snip}"), F.concat(F.lit("「"), t, F.lit("」")))
 
 
@@ -151,34 +167,37 @@ def evidence(scored: dict[str, Column]) -> Column:
     one = lambda cond, text: F.when(cond, F.array(F.lit(text))).otherwise(nothing)
     few = F.size(F.slice(fired, 1, 3)) < 2
     model = (scored["ml_boosted"] & few) | ((~(scored["ml_boosted"] & few)) & (scored["ml_score"] >= C.MODEL_NOTE_FROM))
-    title = F.try_element_at(F.create_map(*[F.lit(x) for kv in C.TITLES.items() for x in kv]), scored["category"])
+    title = F.try_element_at(_table(C.TITLES), scored["category"])
+    table = _table(C.TEMPLATES)
+    clauses = F.transform(F.slice(fired, 1, 3), lambda x: clause(x, table))
     positive = F.concat(
         F.array(F.when(v == "malicious", C.FRAME_MALICIOUS).otherwise(C.FRAME_SUSPICIOUS)),
-        F.transform(F.slice(fired, 1, 3), clause),
+        clauses,
         one(scored["synergy"] & (v == "malicious"), C.CHAIN_NOTE),
         one(model, C.MODEL_NOTE),
         one(scored["semantic_boosted"], C.MISMATCH_NOTE),
         notes,
         F.when(title.isNotNull(), F.array(F.concat(F.lit("归类："), title, F.lit("。")))).otherwise(nothing),
     )
-    benign = F.concat(F.when(F.size(fired) > 0, F.concat(F.array(F.lit(C.FRAME_WEAK)), F.transform(F.slice(fired, 1, 1), clause))).otherwise(F.array(F.lit(C.FRAME_CLEAN))), F.slice(notes, 1, 1))
+    benign = F.concat(F.when(F.size(fired) > 0, F.concat(F.array(F.lit(C.FRAME_WEAK)), F.slice(clauses, 1, 1))).otherwise(F.array(F.lit(C.FRAME_CLEAN))), F.slice(notes, 1, 1))
     text = F.array_join(F.when(v == "benign", benign).otherwise(positive), " ")
     return F.when(F.length(text) > C.EVIDENCE_CHARS, F.concat(F.substring(text, 1, C.EVIDENCE_CHARS - 1), F.lit("…"))).otherwise(text)
 
 
 def results(scored: DataFrame) -> DataFrame:
-    """skill_id, verdict, confidence, category, evidence; empty packages are benign at 0.9."""
+    """skill_id, verdict, confidence, category, evidence; empty packages are benign at 0.9.
+
+    A package marked `failed` (its text could not be read or folded) is suspicious at 0.4 under the category for what
+    could not be scanned; the others are not affected.
+    """
     x = scored.withColumn("category", category(F.col("verdict"), F.col("fired")))
     names = ("verdict", "fired", "notes", "ml_boosted", "ml_score", "synergy", "semantic_boosted", "category")
+    failed = F.coalesce(F.col("failed"), F.lit(False)) if "failed" in scored.columns else F.lit(False)
+    pick = lambda error, empty, other: F.when(failed, error).when(F.col("empty"), empty).otherwise(other)
     return x.select(
         "skill_id",
-        F.when(F.col("empty"), "benign").otherwise(F.col("verdict")).alias("verdict"),
-        F.when(F.col("empty"), F.lit(0.9)).otherwise(confidence(F.col("verdict"), F.col("r"), F.col("ml_boosted"))).alias("confidence"),
-        F.when(F.col("empty"), "").otherwise(category_label(F.col("category"))).alias("category"),
-        F.when(F.col("empty"), C.EMPTY_EVIDENCE).otherwise(evidence({n: F.col(n) for n in names})).alias("evidence"),
+        pick("suspicious", "benign", F.col("verdict")).alias("verdict"),
+        pick(F.lit(0.4), F.lit(0.9), confidence(F.col("verdict"), F.col("r"), F.col("ml_boosted"))).alias("confidence"),
+        pick(C.ERROR_CATEGORY.upper(), "", category_label(F.col("category"))).alias("category"),
+        pick(C.ERROR_EVIDENCE, C.EMPTY_EVIDENCE, evidence({n: F.col(n) for n in names})).alias("evidence"),
     )
-
-
-def error_row(skill_id: Column) -> list[Column]:
-    """The conservative row of a package that could not be read."""
-    return [skill_id.alias("skill_id"), F.lit("suspicious").alias("verdict"), F.lit(0.4).alias("confidence"), F.lit(C.ERROR_CATEGORY.upper()).alias("category"), F.lit(C.ERROR_EVIDENCE).alias("evidence")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -119,16 +119,21 @@ def within_budget(routed: DataFrame, budget: int = C.MAX_PACKAGE_BYTES) -> DataF
     return x.where(F.col("_spent") < budget).drop("_spent")
 
 
-def assemble(files: DataFrame, binaries_count: bool = True) -> DataFrame:
+def both(md: str, code: str) -> Column:
+    return F.when(F.col(code) != "", F.concat(md, F.lit("\n\n"), code)).otherwise(F.col(md))
+
+
+def assemble(files: DataFrame) -> DataFrame:
     """Documents from routed files: skill_id, ord, low, kind, raw, fname, truncated.
 
     md and code are the normalised texts in order; all_text is both, cut at 600 000 characters. Manifest files are read
-    raw. A package is empty if nothing but white space is left (and, with binaries_count, no binaries).
+    raw. A package is empty if nothing but white space is left and it has no binaries; it has failed if a file's text
+    could not be folded.
     """
     folded = tx.nfkc(F.col("raw"))
     x = files.withColumn("_folded", folded).withColumn("_invisible", tx.count_invisible(F.col("_folded"))).withColumn("_clean", tx.strip_invisible(F.col("_folded")))
     is_manifest = F.col("low").isin(*C.MANIFEST_NAMES) & F.col("raw").isNotNull()
-    x = x.withColumn("_flat", F.when(is_manifest, manifests.flat_json(F.col("raw"))))
+    x = x.withColumn("_flat", manifests.flat_json(F.when(is_manifest, F.col("raw"))))
     part = lambda cond, value: F.collect_list(F.when(cond, F.struct("ord", value.alias("v"))))
     g = x.groupBy("skill_id").agg(
         part(F.col("kind") == "md", F.col("_clean")).alias("md"),
@@ -137,16 +142,15 @@ def assemble(files: DataFrame, binaries_count: bool = True) -> DataFrame:
         part(is_manifest, F.array("raw", "_flat")).alias("man"),
         F.coalesce(F.bool_or(F.col("_invisible") > 0), F.lit(False)).alias("has_zero_width"),
         F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"),
+        F.coalesce(F.bool_or(F.col("raw").isNotNull() & F.col("_folded").isNull()), F.lit(False)).alias("failed"),
     )
     inorder = lambda c: F.transform(F.array_sort(c), lambda s: s["v"])
-    g = g.select("skill_id", F.array_join(inorder("md"), "\n").alias("md"), F.array_join(inorder("code"), "\n").alias("code"), inorder("bin").alias("bundled_binaries"), F.flatten(inorder("man")).alias("_man"), "has_zero_width", "truncated")
-    both = F.when(F.col("code") != "", F.concat("md", F.lit("\n\n"), "code")).otherwise(F.col("md"))
-    empty = tx.is_blank(F.col("md")) & tx.is_blank(F.col("code"))
-    if binaries_count:
-        empty = empty & (F.size("bundled_binaries") == 0)
+    g = g.select("skill_id", F.array_join(inorder("md"), "\n").alias("md"), F.array_join(inorder("code"), "\n").alias("code"), inorder("bin").alias("bundled_binaries"), F.flatten(inorder("man")).alias("_man"), "has_zero_width", "truncated", "failed")
+    whole = both("md", "code")
+    empty = tx.is_blank(F.col("md")) & tx.is_blank(F.col("code")) & (F.size("bundled_binaries") == 0)
     return g.select(
-        "skill_id", "md", "code", F.substring(both, 1, C.MAX_SCAN_CHARS).alias("all_text"), "has_zero_width", "bundled_binaries",
-        (F.col("truncated") | (F.length(both) > C.MAX_SCAN_CHARS)).alias("truncated"), empty.alias("empty"), manifests.manifest(F.col("_man"), F.col("md")).alias("manifest"),
+        "skill_id", "md", "code", F.substring(whole, 1, C.MAX_SCAN_CHARS).alias("all_text"), "has_zero_width", "bundled_binaries",
+        (F.col("truncated") | (F.length(whole) > C.MAX_SCAN_CHARS)).alias("truncated"), empty.alias("empty"), manifests.manifest(F.col("_man"), F.col("md")).alias("manifest"), "failed",
     )
 
 

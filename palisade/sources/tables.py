@@ -7,9 +7,10 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palisade.functions import manifests
 from palisade.functions import text as tx
 from palisade.operators import catalogue as C
-from palisade.sources.directory import assemble
+from palisade.sources.directory import both
 
 CORPUS = "id string, skill_name string, content string, label string, attack string"
 
@@ -29,27 +30,45 @@ PATTERN_CATEGORY = (
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
-    """Documents from (skill_id, md, helpers array<struct<fname, text>>); no size caps but that of the scan, binaries unknown."""
-    first = F.struct(F.lit(0).alias("ord"), F.lit("SKILL.md").alias("fname"), F.coalesce("md", F.lit("")).alias("raw"))
-    rest = F.transform(F.coalesce("helpers", F.array().cast("array<struct<fname:string,text:string>>")), lambda h, i: F.struct((i + 1).alias("ord"), h["fname"].alias("fname"), F.coalesce(h["text"], F.lit("")).alias("raw")))
-    x = rows.select("skill_id", F.inline(F.concat(F.array(first), rest)))
-    x = x.withColumn("low", F.when(F.col("ord") == 0, "").otherwise(F.lower("fname"))).withColumn("ext", tx.extension(F.col("low")))
-    kind = F.when((F.col("ord") == 0) | F.col("ext").isin(".md", ".markdown", ".txt"), "md").otherwise("code")
-    return assemble(x.withColumn("kind", kind).withColumn("truncated", F.lit(False)), binaries_count=False)
+    """Documents from (skill_id, md, helpers array<struct<fname, text>>); no size caps but that of the scan, binaries unknown.
+
+    All of a package is in its row, so there is no shuffle, and rows that share a skill_id stay apart. Null texts count
+    as empty; null helpers as none; other columns are dropped.
+    """
+    nothing = F.array().cast("array<struct<fname:string,text:string>>")
+    first = F.struct(F.lit("").alias("low"), F.coalesce("md", F.lit("")).alias("raw"))
+    rest = F.transform(F.coalesce("helpers", nothing), lambda h: F.struct(F.lower(h["fname"]).alias("low"), F.coalesce(h["text"], F.lit("")).alias("raw")))
+    x = rows.select(F.col("skill_id").cast("string").alias("skill_id"), F.concat(F.array(first), rest).alias("files"))
+    # the texts go through normalisation and flattening as arrays: one call to Python a row, and only for rows that need it
+    raw = F.transform("files", lambda f: f["raw"])
+    x = x.withColumn("_folded", tx.nfkc_all(raw))
+    is_manifest = lambda f: F.coalesce(f["low"].isin(*C.MANIFEST_NAMES), F.lit(False))
+    texts = F.transform(F.filter("files", is_manifest), lambda f: f["raw"])
+    x = x.withColumn("_man", F.when(F.exists("files", is_manifest), manifests.with_flat(texts)).otherwise(F.array().cast("array<string>")))
+    # a file without a name is code
+    is_md = lambda i: (i == 0) | F.coalesce(tx.extension(F.element_at("files", i + 1)["low"]).isin(".md", ".markdown", ".txt"), F.lit(False))
+    clean = F.transform("_folded", lambda t, i: F.struct(is_md(i).alias("md"), tx.strip_invisible(t).alias("t")))
+    x = x.withColumn("_clean", tx.fixed(clean))
+    joined = lambda md: F.array_join(F.transform(F.filter("_clean", lambda c: c["md"] == md), lambda c: c["t"]), "\n")
+    x = x.withColumn("md", tx.fixed(joined(True))).withColumn("code", tx.fixed(joined(False))).withColumn("_whole", tx.fixed(both("md", "code")))
+    return x.select(
+        "skill_id", "md", "code", F.substring("_whole", 1, C.MAX_SCAN_CHARS).alias("all_text"),
+        F.exists("_folded", lambda t: tx.count_invisible(t) > 0).alias("has_zero_width"), F.array().cast("array<string>").alias("bundled_binaries"),
+        (F.length("_whole") > C.MAX_SCAN_CHARS).alias("truncated"), (tx.is_blank(F.col("md")) & tx.is_blank(F.col("code"))).alias("empty"),
+        manifests.manifest(F.col("_man"), F.col("md")).alias("manifest"), F.exists("_folded", lambda t: t.isNull()).alias("failed"),
+    )
 
 
 def from_texts(df: DataFrame, skill_id: Column, text: Column) -> DataFrame:
     """Documents of one text each, such as the rows of a corpus: no shuffle, as there is nothing to assemble."""
-    from palisade.functions import manifests
-
     x = df.withColumn("_id", skill_id.cast("string")).withColumn("_folded", tx.nfkc(F.coalesce(text, F.lit(""))))
-    md = tx.strip_invisible(F.col("_folded"))
-    x = x.withColumn("md", md)
+    x = x.withColumn("_failed", F.col("_folded").isNull()).withColumn("_folded", F.coalesce("_folded", F.lit("")))
+    x = x.withColumn("md", tx.fixed(tx.strip_invisible(F.col("_folded"))))
     nothing = F.array().cast("array<string>")
     return x.select(
         F.col("_id").alias("skill_id"), "md", F.lit("").alias("code"), F.substring("md", 1, C.MAX_SCAN_CHARS).alias("all_text"),
         (tx.count_invisible(F.col("_folded")) > 0).alias("has_zero_width"), nothing.alias("bundled_binaries"), (F.length("md") > C.MAX_SCAN_CHARS).alias("truncated"),
-        tx.is_blank(F.col("md")).alias("empty"), manifests.manifest(nothing, F.col("md")).alias("manifest"),
+        tx.is_blank(F.col("md")).alias("empty"), manifests.manifest(nothing, F.col("md")).alias("manifest"), F.col("_failed").alias("failed"),
     )
 
 
@@ -126,6 +145,12 @@ def label_of(config: Column, field: Column, positives: tuple[str, ...], negative
     return F.when(field.isNotNull(), (field.cast("int") > 0).cast("int")).when(pos, 1).when(neg, 0)
 
 
+def clamped(text: Column, least: int = 15, most: int = 2000) -> Column:
+    """The first `most` characters of a text; null if it has fewer than `least` without the white space around it."""
+    bare = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    return F.when(F.length(bare) >= least, F.substring(bare, 1, most))
+
+
 def wrap_text(text: Column, key: Column) -> Column:
     """A text in a neutral package scaffold: one of three places for it, chosen by a hash of key."""
     place = F.pmod(F.xxhash64(key), F.lit(3))
@@ -150,8 +175,8 @@ def result_lines(results: DataFrame) -> DataFrame:
     return results.select("skill_id", F.to_json(F.struct("skill_id", "verdict", "confidence", "category", "evidence")).alias("line"))
 
 
-def write_results(results: DataFrame, path: str, one_file: bool = True) -> None:
-    """JSON lines in the order of skill_id: one file, or range-partitioned files in order for large outputs."""
+def write_results(results: DataFrame, path: str, one_file: bool = False) -> None:
+    """JSON lines in the order of skill_id: range-partitioned files whose names are in order, or one file for small outputs."""
     lines = result_lines(results)
     lines = lines.repartition(1).sortWithinPartitions("skill_id") if one_file else lines.orderBy("skill_id")
     lines.select("line").write.mode("overwrite").text(path)
