@@ -7,8 +7,10 @@ import re
 import duckdb
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from palisade.operators import scan, score
 from palisade.plans import queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -18,7 +20,7 @@ def norm(v):
     return f"{v:.6g}" if isinstance(v, float) else str([norm(x) for x in v]) if isinstance(v, list | tuple) else str(v)
 
 
-@pytest.mark.parametrize("name", ["invisible_scan", "entropy_blobs", "match_offsets", "skill_assemble", "manifest_fields", "manifest_signals", "typosquat_names", "rule_hits", "cooccur_pairs", "risk_scores", "linear_score"])
+@pytest.mark.parametrize("name", ["invisible_scan", "entropy_blobs", "match_offsets", "skill_assemble", "manifest_fields", "manifest_signals", "typosquat_names", "json_flatten", "rule_hits", "cooccur_pairs", "full_pipeline", "threshold_sweep", "calibrate_grid", "model_boost", "linear_score"])
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -34,20 +36,34 @@ def test_against_sql(spark, sf, name):
 def test_every_query_has_its_sql_or_a_reason():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(queries.queries()) - set(o) == {"nfkc_fold", "decode_rescan", "json_flatten", "wordpiece_encode", "full_pipeline", "rescore_sweep", "generated_packages"}
+    assert set(queries.queries()) - set(o) == {"nfkc_fold", "decode_rescan", "wordpiece_encode", "generated_packages"}
 
 
 def test_generated_attacks_are_caught(spark, sf):
     got = queries.generated_packages(spark, sf).collect()
     bad = [r for r in got if r.label == "malicious"]
-    assert sum(r.verdict != "benign" for r in bad) > 0.85 * len(bad)
-
-
-def test_rescore_sweep_counts_all_signals(spark, sf, monkeypatch):
-    """Invisible characters weigh 22 and are no catalogue rule: suspicious, half a hit, while that is above the lower limit."""
-    monkeypatch.setattr(queries, "PAYLOADS", ("pla\u200bin words with nothing to find",))
-    got = {(r.benign_max, r.mal_min): r.recall for r in queries.rescore_sweep(spark, sf).collect()}
-    assert got == {(b, m): 0.5 if b <= 20 else 0.0 for b in (15, 20, 25) for m in (40, 45, 50)}
+    assert sum(r.verdict != "benign" for r in bad) > 0.8 * len(bad)
+
+
+def test_salted_corpus_reaches_every_signal(spark, sf):
+    """All 38 signals but bundled binaries fire somewhere, and the boost, the clamp and the promotion are reached."""
+    hits = {r.id for r in queries.rule_counts(spark, sf).collect()}
+    assert set(scan.MARKS) - hits == {"S_bundled_binary"}
+    rows = queries.model_boost(spark, sf).collect()
+    assert all(any(r[k] for r in rows) for k in ("ml_boosted", "clamped", "semantic_boosted"))
+
+
+def test_limits_move_floor_and_cap(spark):
+    """Judged anew under each pair of limits: the confirmed floor, the cap and the promotion follow them."""
+    rows = [("floor", 30, False, True, False, False), ("cap", 60, True, False, False, False), ("kept", 60, True, False, True, False), ("promoted", 30, False, False, False, True), ("low", 12, False, False, False, False)]
+    weighed = spark.createDataFrame(rows, "truth string, r0 int, analytic boolean, confirmed boolean, infra boolean, mismatch boolean")
+    got = {}
+    for b, m in ((10, 40), (18, 45), (35, 70)):
+        for r in score.judge(weighed.withColumns({"b": F.lit(b), "m": F.lit(m)}), thresholds=(F.col("b"), F.col("m"))).collect():
+            got[r.truth, b] = (r.r, r.verdict)
+    assert got["floor", 10] == (40, "malicious") and got["floor", 35] == (70, "malicious")
+    assert got["cap", 10] == (39, "suspicious") and got["cap", 35] == (60, "suspicious") and got["kept", 18] == (60, "malicious")
+    assert got["promoted", 18] == (30, "malicious") and got["promoted", 35] == (30, "benign") and got["low", 10] == (12, "suspicious") and got["low", 18] == (12, "benign")
 
 
 def test_schema_check_reads_the_evidence(spark, sf, monkeypatch):
