@@ -115,16 +115,19 @@ _SALTED = f"""salted AS (
   SELECT doc_id, 'pkg-' || lpad(doc_id::VARCHAR, 12, '0') AS skill_id, text || chr(10) || {_chosen_sql(PAYLOADS)} AS body FROM documents)"""
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt evenly to all cores if its rows sit in fewer splits than there are cores (a file of one row group can't
-    be split); else as it is, without a shuffle. The rows are the same. Counting the splits reads no column."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.select(F.spark_partition_id().alias("p")).distinct().count() < cores else df
+#: A session setting: the number of partitions that packages are dealt to before they are scanned. Unset: the splits that they are read in, without a shuffle.
+DEAL = "spark.palisade.partitions"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df, dealt evenly to as many partitions as the session asks for (for tables of too few splits, such as a file of one row group). The rows are the same."""
+    n = df.sparkSession.conf.get(DEAL, None)
+    return df.repartition(int(n)) if n else df
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """The salted corpus as packages: metadata before the text, and for some a helper script or a manifest file."""
-    x = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    x = dealt(table(spark, sf, "documents").select("doc_id", "text"))
     x = _salted(x)
     helper = lambda name, text: F.array(F.struct(F.lit(name).alias("fname"), F.lit(text).alias("text")))
     helpers = F.when(F.col("doc_id") % 6 == 0, helper("run.sh", SCRIPT)).when(F.col("doc_id") % 10 == 1, helper("manifest.json", MANIFEST))

@@ -39,6 +39,20 @@ def test_every_query_has_its_sql_or_a_reason():
     assert set(queries.queries()) - set(o) == {"nfkc_fold", "decode_rescan", "wordpiece_encode", "generated_packages"}
 
 
+def test_packages_are_dealt_only_where_asked(spark, sf):
+    def plan():
+        return queries.documents(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan()
+    want = sorted(queries.rule_results(spark, sf).select("skill_id", "r", "verdict").collect())
+    spark.conf.set(queries.DEAL, "3")
+    try:
+        assert "RoundRobinPartitioning(3)" in plan()
+        assert sorted(queries.rule_results(spark, sf).select("skill_id", "r", "verdict").collect()) == want
+    finally:
+        spark.conf.unset(queries.DEAL)
+
+
 def test_generated_attacks_are_caught(spark, sf):
     got = queries.generated_packages(spark, sf).collect()
     bad = [r for r in got if r.label == "malicious"]
