@@ -37,12 +37,18 @@ def _full_texts() -> Iterator[tuple[str, str, str]]:
         bulleted = bulleted.replace(f"\n{n}. ", "\n* ")
     named = ("", "BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License")
     yield from _with_titles("BSD-3-Clause", (*named, *(f"{t}\n\nAll rights reserved." for t in named)), (bsd, bulleted))
+    # the two-clause form is the three-clause one without its third clause
+    simple = [b[: b.index(third)] + b[b.index("THIS SOFTWARE") :] for b, third in ((bsd, "3. Neither"), (bulleted, "* Neither"))]
+    named = ("", "BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License")
+    yield from _with_titles("BSD-2-Clause", (*named, *(f"{t}\n\nAll rights reserved." for t in named)), tuple(simple))
     # what follows the terms tells how to apply them and is often left out, or its copyright line is filled in
-    for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0"):
+    for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1"):
         text = TEXTS[k]
         end = text.index("END OF TERMS AND CONDITIONS")
         yield from ((k, "text", t) for t in (text, text[:end], text[:end] + "END OF TERMS AND CONDITIONS", text.replace("Copyright [yyyy] [name of copyright owner]", "")))
-    yield "MPL-2.0", "text", TEXTS["MPL-2.0"]
+    for k, after in (("MPL-1.1", "EXHIBIT A"), ("GFDL-1.3", "ADDENDUM: How to use")):
+        yield from ((k, "text", t) for t in (TEXTS[k], TEXTS[k][: TEXTS[k].index(after)]))
+    yield from ((k, "text", TEXTS[k]) for k in ("MPL-2.0", "LGPL-3.0", "Artistic-1.0-Perl"))
     cc0 = TEXTS["CC0-1.0"]
     yield from (("CC0-1.0", "text", t) for t in (cc0, cc0.replace("Creative Commons Legal Code", "", 1)))
 

@@ -167,8 +167,11 @@ def test_op2_finds_genuine_full_texts(spark):
     mit, isc = (next(t for a, k, t in licenses.KNOWN if (a, k) == (x, "text")) for x in ("MIT", "ISC"))
     rows += [("MIT", mit.replace("MIT License", "The MIT License (MIT)\n\n" + by)), ("MIT", mit.replace("MIT License\n", by)), ("ISC", "ISC License\n\n" + by + isc)]
     rows += [("Apache-2.0", texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Someone")), ("GPL-2.0", texts["GPL-2.0"].split("END OF TERMS")[0])]
+    two = re.sub(r"3\. Neither.*?permission\.\n\n", "", texts["BSD-3-Clause"], flags=re.S)
+    assert "Neither" not in two
+    rows += [("BSD-2-Clause", f"BSD 2-Clause License\n\n{by}{two}"), ("BSD-2-Clause", by + "All rights reserved.\n\n" + two), ("LGPL-2.1", texts["LGPL-2.1"].split("END OF TERMS")[0]), ("MPL-1.1", texts["MPL-1.1"].split("EXHIBIT A")[0])]
     debian = Path("/usr/share/common-licenses")
-    rows += [(k, (debian / f).read_text()) for k, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")) if (debian / f).exists()]
+    rows += [(k, (debian / f).read_text()) for k, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("GFDL-1.3", "GFDL-1.3"), ("MPL-1.1", "MPL-1.1"), ("Artistic-1.0-Perl", "Artistic")) if (debian / f).exists()]
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(-1, texts["GPL-3.0"][:-400])], "doc_id int, text string")
     got = {r.doc_id: r.license for r in licenses.find_licenses(docs).where("unit = 'text'").collect()}
     assert got == {i: k for i, (k, _) in enumerate(rows)}
