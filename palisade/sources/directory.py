@@ -2,13 +2,18 @@
 
 `spark.read.format("packages").load(root)` gives one row per file, and one row with null names for a package without
 files. Files come in walk order: the files of a folder by name, then its sub-folders by name; hidden ones too.
+
+A root with a scheme (`hdfs://`, `s3://`, `gs://`, `abfs://`, `file://`) is read through pyarrow's file systems, by the
+same tasks; Spark's own binary file source would leave hidden files out and read large files whole.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -40,9 +45,17 @@ class Batch(InputPartition):
         self.names = names
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str] | None:
+    """The file system of a root with a scheme and the path there; None for a plain path."""
+    return fs.FileSystem.from_uri(root.rstrip("/")) if "://" in root else None
+
+
 def discover(root: str) -> list[str]:
     """The names of root's folders in order, links to folders too; none if root can't be listed."""
     try:
+        if store := _store(root):
+            system, top = store
+            return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(top)) if x.type == fs.FileType.Directory)
         return sorted(n for n in os.listdir(root) if os.path.isdir(os.path.join(root, n)))
     except OSError:
         return []
@@ -57,26 +70,42 @@ class PackageReader(DataSourceReader):
         return [Batch(names[i : i + self.size]) for i in range(0, len(names), self.size)] or [Batch([])]
 
     def read(self, partition: Batch) -> Iterator[tuple]:
+        store = _store(self.root)
         for package in partition.names:
-            top, some = os.path.join(self.root, package), False
-            for folder, dirs, files in os.walk(top):
-                dirs.sort()
-                rel = os.path.relpath(folder, top)
-                parts = [] if rel == "." else rel.split(os.sep)
-                for fname in sorted(files):
-                    some = True
-                    yield (package, parts, fname, *_head(os.path.join(folder, fname), fname))
+            some = False
+            for row in _stored_files(*store, package) if store else _local_files(self.root, package):
+                some = True
+                yield (package, *row)
             if not some:
                 yield package, None, None, None, None
 
 
-def _head(path: str, fname: str) -> tuple[int | None, bytes | None]:
+def _local_files(root: str, package: str) -> Iterator[tuple]:
+    top = os.path.join(root, package)
+    for folder, dirs, files in os.walk(top):
+        dirs.sort()
+        rel = os.path.relpath(folder, top)
+        parts = [] if rel == "." else rel.split(os.sep)
+        for fname in sorted(files):
+            path = os.path.join(folder, fname)
+            yield (parts, fname, *_head(fname, lambda path=path: (os.stat(path).st_size, open(path, "rb"))))
+
+
+def _stored_files(system: fs.FileSystem, root: str, package: str) -> Iterator[tuple]:
+    top = f"{root}/{package}"
+    found = system.get_file_info(fs.FileSelector(top, recursive=True))
+    for parts, x in sorted(((x.path[len(top) + 1 :].split("/")[:-1], x) for x in found if x.type == fs.FileType.File), key=lambda p: (p[0], p[1].base_name)):
+        yield (parts, x.base_name, *_head(x.base_name, lambda x=x: (x.size, system.open_input_stream(x.path))))
+
+
+def _head(fname: str, opened: Callable[[], tuple[int, Any]]) -> tuple[int | None, bytes | None]:
     """Length and first bytes of a file, one more than are used; files known to be executables are not opened."""
     if os.path.splitext(fname.lower())[1] in C.BINARY_EXTENSIONS:
         return None, None
     try:
-        with open(path, "rb") as f:
-            return os.fstat(f.fileno()).st_size, f.read(C.MAX_FILE_BYTES + 1)
+        length, f = opened()
+        with f:
+            return length, f.read(C.MAX_FILE_BYTES + 1)
     except OSError:
         return None, b""
 

@@ -109,6 +109,12 @@ def test_folders(spark, folders):
     assert docs["void"].empty and docs["bare"].empty
 
 
+def test_a_root_with_a_scheme_gives_the_same_files(spark, folders, tmp_path):
+    rows = lambda root: sorted(map(repr, directory.read_packages(spark, root).collect()))
+    assert rows(f"file://{folders}") == rows(folders) and len(rows(folders)) > 5
+    assert rows(f"file://{tmp_path}/none") == []
+
+
 def test_folders_to_lines(spark, folders, tmp_path):
     out = analyze(directory.load_documents(spark, folders)).cache()
     for one, files in ((False, None), (True, 1)):
