@@ -1,5 +1,6 @@
 """The pipeline's stages, each replayed by plain Python on what the one before it has left."""
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import pytest
 
 import corpus_pipeline
 from palisade.llm import quality, simhash
-from palisade.llm.common import documents, stored
+from palisade.llm.common import documents, run_dir, stored
 
 
 def test_stages_are_in_order():
@@ -115,7 +116,11 @@ def test_packing_holds_every_token_once(steps):
 
 
 def test_run_is_the_chain(spark, sf, steps):
+    folder = run_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
     assert Counter(rows(corpus_pipeline.run(spark, sf))) == Counter(rows(steps[-1]))
+    # of all scratch tables the result alone is left
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["pipeline-packing"] and before <= set(os.listdir(folder))
 
 
 def test_stages_take_awkward_rows(spark, tmp_path):
