@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import exact_dedup, mixing, packing, quality, simhash
-from palisade.llm.common import documents, stored
+from palisade.llm.common import documents, drop_stored, scratch, stored
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet and read again."""
+    """The stages over documents, each written as Parquet and read again.
+
+    Once a stage's result is written, nothing reads its scratch tables or its input any more, so they are deleted.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as used:
+            out = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_stored(docs, *(t for t in used if t is not out))
+        docs = out
     return docs
