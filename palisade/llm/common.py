@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 WS = r"\x20\x09-\x0D"
 
 _runs: dict[str, str] = {}
-#: The tables that stored() has written in the innermost scratch() of this thread.
-_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+#: The paths of the tables that stored() has written in the innermost scratch() of this thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,7 +67,7 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._palisade_path = path
     if (made := _made.get()) is not None:
-        made.append(out)
+        made.append(path)
     return out
 
 
@@ -79,9 +79,9 @@ def drop_stored(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scratch() -> Iterator[list[DataFrame]]:
-    """A list of the tables that stored() writes inside. Whoever has written what reads them can then drop them."""
-    made: list[DataFrame] = []
+def scratch() -> Iterator[list[str]]:
+    """The paths of the tables that stored() writes inside. Whoever has written what reads them can then remove them."""
+    made: list[str] = []
     before = _made.set(made)
     try:
         yield made
