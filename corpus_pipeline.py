@@ -5,10 +5,12 @@ Every stage but the last returns rows with the columns of documents.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm import exact_dedup, mixing, packing, quality, simhash
-from palisade.llm.common import documents, drop_stored, scratch, stored
+from palisade.llm.common import documents, drop_stored, remove, scratch, stored
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +62,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         with scratch() as used:
             out = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        drop_stored(docs, *(t for t in used if t is not out))
+        drop_stored(docs)
+        for path in used[:-1]:  # the last one is the result
+            remove(spark, path)
         docs = out
+        gc.collect()  # plans that Python still refers to would stay in the driver's JVM
     return docs
