@@ -6,9 +6,6 @@ import atexit
 import json
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +15,6 @@ from pyspark.sql import types as T
 WS = r"\x20\x09-\x0D"
 
 _runs: dict[str, str] = {}
-#: The paths of the tables that stored() has written in the innermost scratch() of this thread.
-_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,8 +61,6 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palisade_path = path
-    if (made := _made.get()) is not None:
-        made.append(path)
     return out
 
 
@@ -78,17 +71,6 @@ def drop_stored(*tables: DataFrame) -> None:
             remove(df.sparkSession, path)
 
 
-@contextmanager
-def scratch() -> Iterator[list[str]]:
-    """The paths of the tables that stored() writes inside. Whoever has written what reads them can then remove them."""
-    made: list[str] = []
-    before = _made.set(made)
-    try:
-        yield made
-    finally:
-        _made.reset(before)
-
-
 def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A table of a few rows that the driver has made, as a JSON literal: no Python worker and no RDD takes part.
 
