@@ -35,6 +35,8 @@ _PIECE = 1 << 14
 #: Words whose neighbours are added up at once.
 _BATCH = 1 << 18
 _CACHE = 200_000
+#: Rows of a table of buckets that are worked out at once.
+_ROWS = 1 << 11
 
 
 class _Codes(dict):
@@ -53,7 +55,9 @@ _codes = _Codes()
 def index_vectors(rows: int, dim: int, seed: int) -> np.ndarray:
     """Sparse ternary vectors of length 1: four +1 or -1 at random places."""
     rng = np.random.default_rng(seed)
-    at = np.argsort(rng.random((rows, dim)), axis=1)[:, :4]
+    at = np.empty((rows, 4), np.int64)
+    for k in range(0, rows, _ROWS):  # the same numbers as in one call, without its tables of all rows
+        at[k : k + _ROWS] = np.argsort(rng.random((min(_ROWS, rows - k), dim)), axis=1)[:, :4]
     out = np.zeros((rows, dim), np.float32)
     np.put_along_axis(out, at, rng.choice(np.float32([-0.5, 0.5]), (rows, 4)), axis=1)
     return out
@@ -153,13 +157,18 @@ def neighbour_sums(docs: DataFrame) -> np.ndarray:
     parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sums, "bucket int, " + ", ".join(f"{c} long" for c in names))
     got = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # at most BUCKETS rows
     out = np.zeros((BUCKETS, DIM + 1), np.float64)
-    out[got["bucket"].to_numpy()] = np.stack([got[c].to_numpy() for c in names], axis=1) / 2  # halves travel as whole numbers
+    at = got["bucket"].to_numpy()
+    for i, c in enumerate(names):
+        out[at, i] = got[c].to_numpy() / 2  # halves travel as whole numbers
     return out
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    near = sums[:, :DIM] / np.maximum(1, sums[:, DIM:])
-    return (index_vectors(BUCKETS, DIM, 1) + near).astype(np.float32)
+    out = index_vectors(BUCKETS, DIM, 1)
+    for k in range(0, BUCKETS, _ROWS):
+        part = sums[k : k + _ROWS]
+        out[k : k + _ROWS] = out[k : k + _ROWS] + part[:, :DIM] / np.maximum(1, part[:, DIM:])  # added as float64
+    return out
 
 
 def train(model: Model, x: np.ndarray, y: np.ndarray, hidden: int = 32, rounds: int = 60, seed: int = 3) -> Model:
@@ -221,6 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.select("label", "text").mapInArrow(_pooled(model), "label int, x binary").collect()  # a vector a row
     x = np.array([np.frombuffer(r["x"], np.float64) for r in got]).reshape(-1, WIDTH)
     y = np.array([r["label"] for r in got], np.float64)
+    del got
     order = np.lexsort((*x.T[:4], y)) if len(y) else np.arange(0)  # rows come in any order; the fit must not depend on it
     x, y = x[order], y[order]
     if len(set(y.tolist())) < 2:
