@@ -53,6 +53,16 @@ def test_packages_are_dealt_only_where_asked(spark, sf):
         spark.conf.unset(queries.DEAL)
 
 
+def test_only_what_is_judged_is_scanned(spark, sf, monkeypatch):
+    """Packages without a label drop out before the scan, not after it."""
+    seen, real = [], scan.scan
+    monkeypatch.setattr(scan, "scan", lambda docs, *a: seen.append(docs.count()) or real(docs, *a))
+    labelled = pq.read_metadata(f"{sf}/labels.parquet").num_rows
+    for name in ("rescore_sweep", "threshold_sweep", "calibrate_grid", "confusion", "projected_total", "fp_signal_freq"):
+        queries.queries()[name](spark, sf)
+    assert set(seen) == {labelled} and labelled < pq.read_metadata(f"{sf}/documents.parquet").num_rows
+
+
 def test_generated_attacks_are_caught(spark, sf):
     got = queries.generated_packages(spark, sf).collect()
     bad = [r for r in got if r.label == "malicious"]
