@@ -63,6 +63,11 @@ def test_only_what_is_judged_is_scanned(spark, sf, monkeypatch):
     assert set(seen) == {labelled} and labelled < pq.read_metadata(f"{sf}/documents.parquet").num_rows
 
 
+def test_projected_total_reads_the_packages_once(spark, sf):
+    plan = queries.projected_total(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [doc_id") == 2  # documents and labels
+
+
 def test_generated_attacks_are_caught(spark, sf):
     got = queries.generated_packages(spark, sf).collect()
     bad = [r for r in got if r.label == "malicious"]
